@@ -4,13 +4,14 @@ A paragraph (a line of text) is reduced to its words that occur in the model's v
 features of a multinomial logistic regression over licence families and ``unknown``.  Scores are scaled on
 held-back rows, and a family counts as unknown below the probability at which held-back ordinary
 paragraphs never pass.  Each prediction is then compared with the family's templates: the share of a template's words
-that the paragraph has confirms it.  A paragraph without vocabulary words has no features; it is unknown
-by construction and needs no scoring.
+that the paragraph has confirms it.  A paragraph without any anchor, a vocabulary word that ordinary text
+hardly has, is unknown by the model's definition and needs no scoring.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,6 +103,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), _NOT_WORD), lambda w: F.regexp_replace(w, _EDGE, "")), lambda w: w != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _grams(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in range(1, MAX_GRAM + 1) for i in range(len(words) - n + 1)]
 
@@ -110,6 +116,7 @@ def _grams(words: list[str]) -> list[str]:
 class Model:
     families: tuple[str, ...]  # the last is UNKNOWN
     vocabulary: tuple[str, ...]
+    anchors: tuple[str, ...]  # a paragraph with none of these words states no licence
     weights: dict[str, np.ndarray]  # of each n-gram, a number for each family
     bias: np.ndarray
     scale: float
@@ -122,6 +129,8 @@ class Model:
         return p / p.sum()
 
     def predict(self, text: str) -> tuple[str, float]:
+        if not set(self.anchors) & set(_clean(text)):
+            return UNKNOWN, 1.0
         p = self.probabilities(text)
         best = int(np.argmax(p[:-1]))
         return (self.families[best], float(p[best])) if p[best] >= self.least else (UNKNOWN, float(p[-1]))
@@ -148,22 +157,30 @@ def fit(rows: list[tuple[str, str]], rounds: int = 400) -> Model:
     """Logistic regression by gradient descent; every fourth row is held back for scaling and the threshold."""
     families = (*sorted({f for _, f in rows} - {UNKNOWN}), UNKNOWN)
     back = np.arange(len(rows)) % 4 == 3
-    seen: dict[str, list[int]] = {}
-    licensed = ordinary = 0
+    seen: dict[tuple[str, str], int] = {}
+    sizes: dict[str, int] = {}
+    plain = set()
     for k, (text, family) in enumerate(rows):
         if not back[k]:
-            licensed, ordinary = licensed + (family != UNKNOWN), ordinary + (family == UNKNOWN)
+            if family == UNKNOWN:
+                plain.add(text)
+                continue
+            sizes[family] = sizes.get(family, 0) + 1
             for w in set(_clean(text)):
-                seen.setdefault(w, [0, 0])[family == UNKNOWN] += 1
-    # words that notices use, and clearly more than other text does
-    vocabulary = {w for w, (a, b) in seen.items() if a >= 12 and a / licensed > 4 * b / max(1, ordinary)}
+                seen[family, w] = seen.get((family, w), 0) + 1
+    vocabulary = {w for (family, w), n in seen.items() if n >= 0.15 * sizes[family]}
+    usual: dict[str, int] = {}
+    for text in plain:
+        for w in set(_clean(text)) & vocabulary:
+            usual[w] = usual.get(w, 0) + 1
+    anchors = {w for w in vocabulary if usual.get(w, 0) <= 0.01 * len(plain)}
     features = [set(_grams([w for w in _clean(t) if w in vocabulary])) for t, _ in rows]
     often: dict[str, int] = {}
     for f, out in zip(features, back, strict=True):
         if not out:
             for g in f:
                 often[g] = often.get(g, 0) + 1
-    grams = sorted(sorted(often, key=lambda g: (-often[g], g))[:MAX_FEATURES])
+    grams = sorted(sorted((g for g in often if often[g] >= 6), key=lambda g: (-often[g], g))[:MAX_FEATURES])
     slot = {g: i for i, g in enumerate(grams)}
     x = np.zeros((len(rows), len(grams)), np.float32)
     for k, f in enumerate(features):
@@ -189,16 +206,17 @@ def fit(rows: list[tuple[str, str]], rounds: int = 400) -> Model:
     p = probabilities(scale)
     others = p[truth == len(families) - 1, :-1].max(axis=1)
     least = min(0.9, max(0.5, float(others.max() if len(others) else 0) + 0.01))
-    return Model(families, tuple(sorted(vocabulary)), {g: w[i].astype(float) for g, i in slot.items()}, b.astype(float), scale, least)
+    return Model(families, tuple(sorted(vocabulary)), tuple(sorted(anchors)), {g: w[i].astype(float) for g, i in slot.items()}, b.astype(float), scale, least)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = TRAIN_DOCS) -> Model:
     """A model whose ordinary text comes from the ``sample_docs`` documents with the smallest id hashes."""
     usable = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     taken = usable.select(F.xxhash64(id_col).alias("h"), id_col, text_col).orderBy("h", id_col, text_col).limit(sample_docs).collect()
-    marks = {w for texts in TEMPLATES.values() for t in texts for w in _clean(t)} - {w for t in ORDINARY for w in _clean(t)}
+    notices = [set(_clean(t)) for texts in TEMPLATES.values() for t in texts]
     lines = [p for r in taken for p in r[2].split("\n")[:8] if p.strip()]
-    return fit(labelled([p for p in lines if len(marks & set(_clean(p))) < 3]))
+    # lines that look like notices are left out, as they may be some
+    return fit(labelled([p for p in lines if max(len(n & set(_clean(p))) / len(n) for n in notices) < CONFIRM]))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +228,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "line"))
     vocabulary = list(model.vocabulary)
     words = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("all"))
-    words = words.withColumn("own", F.filter("all", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False))).filter("size(own) > 0")
+    words = words.filter(F.arrays_overlap("all", F.array(*map(F.lit, model.anchors)).cast("array<string>")))
+    words = words.withColumn("own", F.filter("all", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False)))
     none = F.array().cast("array<string>")
 
     def grams(n: int) -> Column:
@@ -224,12 +243,17 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     weights = F.from_json(F.lit(table), "map<string,array<double>>")
     start = F.array(*[F.lit(float(v)) for v in model.bias])
     zero = F.array(*[F.lit(0.0)] * k)
-    scored = rows.withColumn("z", F.aggregate("grams", start, lambda z, g: F.zip_with(z, F.coalesce(F.try_element_at(weights, g), zero), lambda a, b: a + b)))
-    top = F.array_max("z")
-    scored = scored.withColumn("e", F.transform("z", lambda v: F.exp(F.lit(model.scale) * (v - top))))
-    scored = scored.withColumn("p", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)))
-    best = F.greatest(*[F.struct(F.col("p")[i].alias("probability"), F.lit(-i).alias("i"), F.lit(f).alias("family")) for i, f in enumerate(model.families[:-1])])
-    found = scored.withColumn("best", best).filter(F.col("best.probability") >= model.least)
+    z = F.aggregate("grams", start, lambda z, g: F.zip_with(z, F.coalesce(F.try_element_at(weights, g), zero), lambda a, b: a + b))
+
+    def softmax(z: Column) -> Column:
+        powers = _let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(F.lit(model.scale) * (v - top))))
+        return _let(powers, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total)))
+
+    def best(p: Column) -> Column:
+        return F.greatest(*[F.struct(p[i].alias("probability"), F.lit(-i).alias("i"), F.lit(f).alias("family")) for i, f in enumerate(model.families[:-1])])
+
+    # exploding keeps the optimizer from computing it twice
+    found = rows.select("doc_id", "paragraph", "all", F.explode(F.array(_let(_let(z, softmax), best))).alias("best")).filter(F.col("best.probability") >= model.least)
     similar = [F.when(F.col("best.family") == f, F.greatest(*[F.size(F.array_intersect(F.array(*map(F.lit, ws)), "all")) / len(ws) for ws in [list(dict.fromkeys(_clean(t))) for t in texts]], F.lit(0.0))) for f, texts in TEMPLATES.items()]
     similarity = F.coalesce(*similar, F.lit(0.0))
     out = found.select("doc_id", "paragraph", F.col("best.family").alias("family"), F.col("best.probability").alias("probability"), similarity.alias("similarity"))

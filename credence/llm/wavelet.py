@@ -198,7 +198,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             store.move(part, f"{folder}/{file}")
             yield pa.record_batch([[shard], [file], [len(names)], [sum(lengths)]], ["shard", "file", "documents", "tokens"])
 
-    return shared_table(ordered.mapInArrow(run, "shard int, file string, documents long, tokens long"), "token-manifest")
+    return shared_table(ordered.mapInArrow(run, "shard long, file string, documents long, tokens long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
