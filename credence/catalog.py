@@ -1,13 +1,282 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+import tempfile
+from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from credence.engine import Engine
+from credence.sources.kb import KnowledgeBase
 
+FOREVER = "query_time:\"2030-01-01T00:00:00Z\""
 
-def oracle_sql():
-    return {}
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Predicates bound to tables: name -> (table, arguments, options).
+def _bindings() -> dict[str, tuple[str, list, dict]]:
+    c = F.col
+    return {
+        "order": ("orders", ["o_orderkey", "o_custkey", "o_totalprice"], {"distinct": True}),
+        "orderdate": ("orders", ["o_orderkey", "o_orderdate"], {"distinct": True}),
+        "status": ("orders", ["o_orderkey", "o_orderstatus"], {"distinct": True}),
+        "open_order": ("orders", ["o_orderkey"], {"distinct": True, "vf": c("o_orderdate"), "vt": c("o_orderdate") + F.expr("INTERVAL '90' DAY")}),
+        "customer": ("customer", ["c_custkey", "c_nationkey", "c_mktsegment"], {"distinct": True}),
+        "balance": ("customer", ["c_custkey", "c_acctbal"], {"distinct": True}),
+        "supplier": ("supplier", ["s_suppkey", "s_nationkey"], {"distinct": True}),
+        "nation": ("nation", ["n_nationkey", "n_regionkey", "n_name"], {"distinct": True}),
+        "region": ("region", ["r_regionkey", "r_name"], {"distinct": True}),
+        "part": ("part", ["p_partkey", "p_size", "p_retailprice"], {"distinct": True}),
+        "brand": ("part", ["p_partkey", "p_brand"], {"distinct": True}),
+        "item": ("lineitem", ["l_orderkey", "l_partkey", "l_suppkey"], {"b": 1 - c("l_discount"), "d": c("l_tax")}),
+        "shipped": ("lineitem", ["l_orderkey", "l_shipdate"], {"b": 1 - c("l_discount"), "d": c("l_tax")}),
+        "flag": ("lineitem", ["l_returnflag", "l_linestatus"], {"b": c("l_discount") / 1000, "d": c("l_tax") / 1000}),
+        "pair": ("lineitem", ["l_linenumber", "l_quantity"], {"b": c("l_discount") / 100, "d": c("l_tax") / 100}),
+        "good_doc": ("labels", ["doc_id"], {"b": c("quality"), "d": c("toxic")}),
+        "doc": ("documents", ["doc_id", "lang", "source"], {"distinct": True}),
+        "event": ("events", ["event_id", "user_id", "event_type"], {"distinct": True, "et": c("ts")}),
+        "boss": ("customer", ["c_custkey", F.floor(c("c_custkey") / 2)], {"distinct": True, "b": 0.9 + (c("c_custkey") % 10) / 100}),
+    }
+
+
+@dataclass(frozen=True)
+class Case:
+    query: str
+    sql: str | None
+    program: str = ""
+    uses: str = ""
+
+
+def _status(b: str, d: str) -> str:
+    return f"CASE WHEN {b} > 1e-12 AND {d} > 1e-12 THEN 'both' WHEN {b} > 1e-12 THEN 'true' WHEN {d} > 1e-12 THEN 'false' ELSE 'neither' END"
+
+
+def _sql(columns: str, inner: str, tail: str = "") -> str:
+    """Answers of a relation with b and d; ``columns`` may be empty."""
+    lead = f"{columns}, " if columns else ""
+    return f"SELECT {lead}round(b, 6) AS b, round(d, 6) AS d, {_status('b', 'd')} AS status FROM ({inner}) {tail}"
+
+
+def _or(c: str) -> str:
+    return f"1 - product(1 - {c})"
+
+
+_ITEMS = f"(SELECT l_orderkey, l_partkey, l_suppkey, {_or('(1 - l_discount)')} AS b, {_or('l_tax')} AS d FROM lineitem GROUP BY ALL)"
+_SHIPS = f"(SELECT l_orderkey, l_shipdate, {_or('(1 - l_discount)')} AS b, {_or('l_tax')} AS d FROM lineitem GROUP BY ALL)"
+_LABELS = f"(SELECT doc_id, {_or('quality::DOUBLE')} AS b, {_or('toxic::DOUBLE')} AS d FROM labels GROUP BY doc_id HAVING b > 0 OR d > 0)"
+_BOSS = "(SELECT c_custkey AS x, floor(c_custkey / 2)::BIGINT AS y, 0.9 + (c_custkey % 10) / 100 AS b FROM customer)"
+_PAIRS = "(SELECT l_linenumber, l_quantity, {b} AS b, {d} AS d FROM lineitem GROUP BY ALL)"
+
+
+def _pairs(b: str, d: str) -> str:
+    return _PAIRS.format(b=b.format("l_discount / 100"), d=d.format("l_tax / 100"))
+
+
+_CLOSURE = "path(X, Y) :- boss(X, Y), geq(Y, 1). path(X, Y) :- boss(X, Z), path(Z, Y), geq(Z, 1)."
+_CLOSURE_SQL = f"""WITH RECURSIVE e AS (SELECT * FROM {_BOSS} WHERE y >= 1),
+p AS (SELECT x, y, b, 1 AS n FROM e UNION ALL SELECT e.x, p.y, e.b * p.b, n + 1 FROM e JOIN p ON e.y = p.x)
+SELECT x AS "X", y AS "Y", round(b, 6) AS b, 0.0::DOUBLE AS d, 'true' AS status FROM p"""
+
+CASES: dict[str, Case] = {
+    "risky_customers": Case("?- risky(C)", _sql('"C"', f'SELECT o_custkey AS "C", {_or("0.9")} AS b, {_or("0.05")} AS d FROM orders WHERE o_totalprice > 300000 GROUP BY 1'), "risky(C) :- order(O, C, P), gt(P, 300000) @{b:0.9, d:0.05}.", "order"),
+    # scans and bindings
+    "fact_scan": Case("?- order(O, C, P)", 'SELECT o_orderkey AS "O", o_custkey AS "C", o_totalprice AS "P", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM orders', uses="order"),
+    "constant_argument": Case('?- customer(C, N, "BUILDING")', 'SELECT c_custkey AS "C", c_nationkey::BIGINT AS "N", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM customer WHERE c_mktsegment = \'BUILDING\'', uses="customer"),
+    "repeated_var": Case("?- pair(X, X)", _sql('"X"', f'SELECT l_linenumber::BIGINT AS "X", b, d FROM {_pairs(_or("{}"), _or("{}"))} WHERE l_linenumber = l_quantity AND (b > 0 OR d > 0)'), uses="pair"),
+    "point_lookup": Case("?- order(7, C, P)", 'SELECT o_custkey AS "C", o_totalprice AS "P", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM orders WHERE o_orderkey = 7', uses="order"),
+    "non_null_evidence": Case("?- good_doc(X)", _sql('"X"', f'SELECT doc_id AS "X", b, d FROM {_LABELS}'), uses="good_doc"),
+    "anon_projection": Case("?- item(O, _, _)", _sql('"O"', f'SELECT l_orderkey AS "O", {_or("b")} AS b, {_or("d")} AS d FROM {_ITEMS} GROUP BY 1'), uses="item"),
+    "visible_known_at": Case('?- event(E, U, T) @{query_time:"2024-01-10T12:00:00Z"}', 'SELECT event_id AS "E", user_id AS "U", event_type AS "T", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM events WHERE ts <= TIMESTAMP \'2024-01-10 12:00:00\'', uses="event"),
+    "visible_valid_window": Case('?- open_order(O) @{query_time:"1998-03-15T00:00:00Z"}', "SELECT o_orderkey AS \"O\", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM orders WHERE TIMESTAMP '1998-03-15' BETWEEN o_orderdate AND o_orderdate + INTERVAL 90 DAY", uses="open_order"),
+    # joins
+    "conj_product": Case("?- item(O, P, S), supplier(S, N)", _sql('"O", "P", "S", "N"', f'SELECT l_orderkey AS "O", l_partkey AS "P", l_suppkey AS "S", s_nationkey::BIGINT AS "N", b, d FROM {_ITEMS} JOIN supplier ON l_suppkey = s_suppkey'), uses="item supplier"),
+    "conj_minimum": Case("?- item(O, P, _), shipped(O, T) @{body_truth:minimum}", _sql('"O", "P", "T"', f'SELECT i.l_orderkey AS "O", l_partkey AS "P", l_shipdate AS "T", {_or("least(i.b, s.b)")} AS b, {_or("1 - (1 - i.d) * (1 - s.d)")} AS d FROM {_ITEMS} i JOIN {_SHIPS} s ON i.l_orderkey = s.l_orderkey GROUP BY 1, 2, 3'), uses="item shipped"),
+    "falsity_noisy_or": Case("?- flag(R, S), flag(R, T)", _sql('"R", "S", "T"', f'WITH f AS (SELECT l_returnflag AS r, l_linestatus AS s, {_or("l_discount / 1000")} AS b, {_or("l_tax / 1000")} AS d FROM lineitem GROUP BY ALL) SELECT f.r AS "R", f.s AS "S", g.s AS "T", f.b * g.b AS b, 1 - (1 - f.d) * (1 - g.d) AS d FROM f JOIN f g ON f.r = g.r'), uses="flag"),
+    "falsity_max": Case("?- flag(R, S), flag(R, T) @{body_falsity:maximum}", _sql('"R", "S", "T"', f'WITH f AS (SELECT l_returnflag AS r, l_linestatus AS s, {_or("l_discount / 1000")} AS b, {_or("l_tax / 1000")} AS d FROM lineitem GROUP BY ALL) SELECT f.r AS "R", f.s AS "S", g.s AS "T", f.b * g.b AS b, greatest(f.d, g.d) AS d FROM f JOIN f g ON f.r = g.r'), uses="flag"),
+    "cross_product": Case("?- region(A, N), region(C, M)", 'SELECT a.r_regionkey::BIGINT AS "A", a.r_name AS "N", c.r_regionkey::BIGINT AS "C", c.r_name AS "M", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM region a, region c', uses="region"),
+    "self_join": Case("?- brand(P, X), brand(Q, X), lt(P, Q)", 'SELECT a.p_partkey AS "P", a.p_brand AS "X", b.p_partkey AS "Q", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey', uses="brand"),
+    "theta_join": Case("?- nation(N, R, X), nation(M, R, Y), gt(M, N)", 'SELECT a.n_nationkey::BIGINT AS "N", a.n_regionkey::BIGINT AS "R", a.n_name AS "X", b.n_nationkey::BIGINT AS "M", b.n_name AS "Y", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey', uses="nation"),
+    "star_join": Case("?- from(O, X)", _sql('"O", "X"', 'SELECT o_orderkey AS "O", r_name AS "X", 1.0 AS b, 0.0 AS d FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey'), "from(O, X) :- order(O, C, _), customer(C, N, _), nation(N, R, _), region(R, X).", "order customer nation region"),
+    "naf": Case("?- customer(C, N, S), not order(_, C, _)", 'SELECT c_custkey AS "C", c_nationkey::BIGINT AS "N", c_mktsegment AS "S", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)', uses="customer order"),
+    "naf_exists": Case("?- region(R, X), not nation(_, R, _)", 'SELECT r_regionkey::BIGINT AS "R", r_name AS "X", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)', uses="region nation"),
+    "naf_disbelief_only": Case("?- doc(X, L, _), not good_doc(X)", f'SELECT doc_id AS "X", lang AS "L", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM (SELECT DISTINCT doc_id, lang FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM {_LABELS} WHERE b > 0)', uses="doc good_doc"),
+    # aggregation of support
+    "support_noisy_or": Case("?- pair(N, Q)", _sql('"N", "Q"', f'SELECT l_linenumber::BIGINT AS "N", l_quantity AS "Q", b, d FROM {_pairs(_or("{}"), _or("{}"))} WHERE b > 0 OR d > 0'), uses="pair"),
+    "support_max": Case("?- pair(N, Q) @{support_aggregation:maximum}", _sql('"N", "Q"', f'SELECT l_linenumber::BIGINT AS "N", l_quantity AS "Q", b, d FROM {_pairs("max({})", "max({})")} WHERE b > 0 OR d > 0'), uses="pair"),
+    "support_capped": Case("?- pair(N, Q) @{support_aggregation:capped_sum}", _sql('"N", "Q"', f'SELECT l_linenumber::BIGINT AS "N", l_quantity AS "Q", b, d FROM {_pairs("least(1.0, sum({}))", "least(1.0, sum({}))")} WHERE b > 0 OR d > 0'), uses="pair"),
+    # rules
+    "rule_weights": Case("?- used(P)", _sql('"P"', f'SELECT l_partkey AS "P", {_or("b * (1 - d) * 0.6")} AS b, {_or("b * (1 - d) * 0.2")} AS d FROM {_ITEMS} GROUP BY 1'), "used(P) :- item(_, P, _) @{b:0.6, d:0.2}.", "item"),
+    "rule_truth_only": Case("?- used(P) @{rule_applicability:body_truth_only}", _sql('"P"', f'SELECT l_partkey AS "P", {_or("b * 0.6")} AS b, {_or("b * 0.2")} AS d FROM {_ITEMS} GROUP BY 1'), "used(P) :- item(_, P, _) @{b:0.6, d:0.2}.", "item"),
+    "multi_rule_union": Case("?- watch(C)", _sql('"C"', f"""SELECT c AS "C", {_or('b')} AS b, 0.0 AS d FROM (SELECT c_custkey AS c, 0.4 AS b FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, 0.5 FROM customer WHERE c_acctbal < 0) GROUP BY 1"""), 'watch(C) :- customer(C, _, "BUILDING") @{b:0.4}. watch(C) :- balance(C, X), lt(X, 0) @{b:0.5}.', "customer balance"),
+    "head_constant": Case("?- tier(C, T, Y)", "SELECT c_custkey AS \"C\", 'gold' AS \"T\", 2024::BIGINT AS \"Y\", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM customer WHERE c_acctbal > 9000", "tier(C, gold, 2024) :- balance(C, X), gt(X, 9000).", "balance"),
+    "derived_chain": Case("?- rich_region(X)", _sql('"X"', f'SELECT r_name AS "X", {_or("v")} AS b, 0.0 AS d FROM (SELECT n_regionkey, n_nationkey, {_or("0.02")} * 0.5 AS v FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000 GROUP BY 1, 2) JOIN region ON n_regionkey = r_regionkey GROUP BY 1'), "rich_nation(N) :- balance(C, X), gt(X, 9000), customer(C, N, _) @{b:0.02}. rich_region(X) :- rich_nation(N), nation(N, R, _), region(R, X) @{b:0.5}.", "balance customer nation region"),
+    # builtins
+    "cmp_ops": Case("?- part(P, S, X), geq(S, 10), leq(S, 20), ne(S, 15), lt(X, 1500.5)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", p_retailprice AS "X", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part WHERE p_size BETWEEN 10 AND 20 AND p_size <> 15 AND p_retailprice < 1500.5', uses="part"),
+    "between": Case("?- part(P, S, _), between(S, 5, 9)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part WHERE p_size BETWEEN 5 AND 9', uses="part"),
+    "arith_forward": Case("?- part(P, S, _), mul(S, 3, X), sub(X, 1, Y), add(Y, 0.5, Z)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", (p_size * 3)::DOUBLE AS "X", (p_size * 3 - 1)::DOUBLE AS "Y", p_size * 3 - 0.5::DOUBLE AS "Z", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part', uses="part"),
+    "arith_inverse": Case("?- part(P, S, _), add(X, 7, S), mul(2, Y, S)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", (p_size - 7)::DOUBLE AS "X", p_size / 2.0::DOUBLE AS "Y", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part', uses="part"),
+    "div_guard": Case("?- part(P, S, _), sub(S, 10, X), div(100, X, Y)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", (p_size - 10)::DOUBLE AS "X", 100 / (p_size - 10)::DOUBLE AS "Y", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part WHERE p_size <> 10', uses="part"),
+    "eq_bind": Case("?- part(P, S, _), eq(X, S), gt(X, 40)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", p_size::BIGINT AS "X", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part WHERE p_size > 40', uses="part"),
+    "type_checks": Case("?- part(P, S, X), int(S), float(X), brand(P, T), string(T), entity(T)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", p_retailprice AS "X", p_brand AS "T", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part', uses="part brand"),
+    "temporal_add": Case('?- orderdate(O, T), add(T, dur"P30D", U)', 'SELECT o_orderkey AS "O", o_orderdate AS "T", o_orderdate + INTERVAL 30 DAY AS "U", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM orders', uses="orderdate"),
+    "temporal_cmp": Case('?- orderdate(O, T), lt(T, dt"1996-01-01T00:00:00")', 'SELECT o_orderkey AS "O", o_orderdate AS "T", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM orders WHERE o_orderdate < TIMESTAMP \'1996-01-01\'', uses="orderdate"),
+    "temporal_diff": Case('?- slow(O)', _sql('"O"', f"SELECT l_orderkey AS \"O\", {_or('b * (1 - d)')} AS b, 0.0 AS d FROM {_SHIPS} JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate - o_orderdate > INTERVAL 100 DAY GROUP BY 1"), 'slow(O) :- shipped(O, T), orderdate(O, U), sub(T, U, V), gt(V, dur"P100D").', "shipped orderdate"),
+    # answers
+    "closed_true": Case('?- region(_, "ASIA")', "SELECT 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status", uses="region"),
+    "closed_neither": Case('?- region(_, "ATLANTIS")', "SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'neither' AS status", uses="region"),
+    "belnap_status": Case("?- good_doc(X), doc(X, L, _)", _sql('"X", "L"', f'SELECT l.doc_id AS "X", lang AS "L", b, d FROM {_LABELS} l JOIN documents USING (doc_id)'), uses="good_doc doc"),
+    "focus_support": Case("?- good_doc(X) @{focus:support}", _sql('"X"', f'SELECT doc_id AS "X", b, d FROM {_LABELS} WHERE b > 1e-12'), uses="good_doc"),
+    "focus_disbelief": Case("?- good_doc(X) @{focus:disbelief}", _sql('"X"', f'SELECT doc_id AS "X", b, d FROM {_LABELS} WHERE d > 1e-12'), uses="good_doc"),
+    "focus_contradiction": Case("?- good_doc(X) @{focus:contradiction}", _sql('"X"', f'SELECT doc_id AS "X", b, d FROM {_LABELS} WHERE least(b, d) > 1e-12'), uses="good_doc"),
+    "focus_ignorance": Case('?- region(_, "ATLANTIS") @{focus:ignorance}', "SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'neither' AS status", uses="region"),
+    "order_limit_offset": Case('?- order(O, C, P) @{order_by:"C, O", offset:5, limit:20}', 'SELECT o_orderkey AS "O", o_custkey AS "C", o_totalprice AS "P", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM orders ORDER BY o_custkey, o_orderkey LIMIT 20 OFFSET 5', uses="order"),
+    "assume": Case("?- assume(nation(99, 0, utopia)), nation(N, 0, X)", 'SELECT n_nationkey::BIGINT AS "N", n_name AS "X", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 99, \'utopia\', 1.0, 0.0, \'true\'', uses="nation"),
+    # recursion
+    "reach_max": Case("?- path(X, Y) @{support_aggregation:maximum, rule_applicability:body_truth_only}", _CLOSURE_SQL, _CLOSURE, "boss"),
+    "reach_noisy": Case("?- path(X, Y)", _CLOSURE_SQL, _CLOSURE, "boss"),
+    "reach_depth_capped": Case("?- path(X, Y) @{max_depth:3}", _CLOSURE_SQL + " WHERE n <= 3", _CLOSURE, "boss"),
+    "mutual_recursion": Case("?- even(X) @{support_aggregation:maximum, rule_applicability:body_truth_only}", "WITH RECURSIVE p AS (SELECT 1::BIGINT AS x, 0 AS n UNION ALL SELECT c_custkey, n + 1 FROM customer JOIN p ON floor(c_custkey / 2)::BIGINT = p.x WHERE c_custkey > 1) SELECT x AS \"X\", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM p WHERE n % 2 = 0", "even(1). even(X) :- up(X, Y), odd(Y). odd(X) :- up(X, Y), even(Y). up(X, Y) :- customer(X, _, _), mul(2, Z, X), int(Z), eq(Y, Z). up(X, Y) :- customer(X, _, _), sub(X, 1, W), mul(2, Y, W), int(Y), gt(Y, 0).", "customer"),
+    "cycle_no_reinforce": Case("?- linked(R, S)", _sql('"R", "S"', f"SELECT r_regionkey::BIGINT AS \"R\", ((r_regionkey + 1) % 5)::BIGINT AS \"S\", 0.2 AS b, 0.0 AS d FROM region"), "linked(0, 1) @{b:0.2}. linked(1, 2) @{b:0.2}. linked(2, 3) @{b:0.2}. linked(3, 4) @{b:0.2}. linked(4, 0) @{b:0.2}. linked(X, Y) :- linked(X, Y), region(X, _).", "region"),
+    # constraints
+    "constraint_query": Case("?- good_doc(X), doc(X, L, _)", _sql('"X", "L"', f"SELECT l.doc_id AS \"X\", lang AS \"L\", b, CASE WHEN lang = 'en' AND b > 0 THEN 1 - (1 - d) * (1 - b * (1 - d) * 0.7) ELSE d END AS d FROM {_LABELS} l JOIN documents USING (doc_id)"), '!:- good_doc(X), doc(X, "en", _) @{b:0.7}.', "good_doc doc"),
+    "constraint_downstream": Case("?- keep(X)", _sql('"X"', f"SELECT l.doc_id AS \"X\", b * (1 - CASE WHEN lang = 'en' THEN 1 - (1 - d) * (1 - b * (1 - d) * 0.7) ELSE d END) AS b, 0.0 AS d FROM {_LABELS} l JOIN documents USING (doc_id) WHERE b > 0 AND d < 1"), '!:- good_doc(X), doc(X, "en", _) @{b:0.7}. keep(X) :- good_doc(X), doc(X, _, _).', "good_doc doc"),
+    "constraint_footprint_miss": Case("?- good_doc(X)", _sql('"X"', f'SELECT doc_id AS "X", b, d FROM {_LABELS}'), '!:- good_doc(X), doc(X, "en", _) @{b:0.7}.', "good_doc doc"),
+    "type_constraint": Case("?- sells(N, S)", _sql('"N", "S"', 'SELECT s_nationkey::BIGINT AS "N", s_suppkey AS "S", 1.0 AS b, CASE WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN 0.0 ELSE 1.0 END AS d FROM supplier'), "pred sells/2 [western, entity]. western(N) :- nation(N, 1, _). sells(N, S) :- supplier(S, N).", "supplier nation"),
+}
+
+
+def knowledge(spark: SparkSession, sf_dir: str, program: str, uses: str) -> KnowledgeBase:
+    kb = KnowledgeBase.parse(program)
+    known = _bindings()
+    for name in uses.split():
+        table, args, options = known[name]
+        kb.bind(name, _table(spark, sf_dir, table), args, **options)
+    return kb
+
+
+def _run(case: Case) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        query = case.query if "query_time" in case.query else case.query[:-1] + f", {FOREVER}}}" if case.query.endswith("}") else f"{case.query} @{{{FOREVER}}}"
+        df = Engine(spark).evaluate(knowledge(spark, sf_dir, case.program, case.uses), query).df
+        return df.withColumn("b", F.round("b", 6)).withColumn("d", F.round("d", 6))
+
+    return run
+
+
+# Knowledge-base operations and the event log.
+def _merge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = KnowledgeBase.parse('tag(x, 1) @{et:"2024-01-01T00:00:00Z"}. tag(y, 2) @{b:0.5, et:"2024-01-01T00:00:00Z"}.')
+    kb = kb.merge(KnowledgeBase.parse('tag(y, 2) @{b:0.5, et:"2024-01-01T00:00:00Z"}. tag(z, 3) @{et:"2024-01-01T00:00:00Z"}. tag(x, 1) @{b:0.5, et:"2025-01-01T00:00:00Z"}.'))
+    return Engine(spark).evaluate(kb, "?- tag(N, I)").df
+
+
+def _unload_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = knowledge(spark, sf_dir, "seen(R) :- nation(_, R, _). seen(R) :- region(R, _).", "nation region")
+    return Engine(spark).evaluate(kb.unload_predicate("nation", 3)[0], "?- seen(R)").df
+
+
+def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = knowledge(spark, sf_dir, "city(Paris_x) :- region(Paris_x, _). city(parma). town(lyon).", "region")
+    return spark.createDataFrame([(kind, len(found)) for kind, found in sorted(kb.search("PAR").items())], "kind string, n long")
+
+
+def _log(spark: SparkSession, sf_dir: str):
+    """A log of all orders as facts, of which those of every seventh key are retracted; and another branch."""
+    from credence.sources.log import EventLog
+    from credence.sources.shared import shared_dir
+    from credence.streaming.ingest import as_assertions
+
+    log = EventLog(spark, f"{shared_dir(spark)}/log-{next(tempfile._get_candidate_names())}")
+    orders = _table(spark, sf_dir, "orders")
+    first = log.append(as_assertions(orders, "main", "placed", ["o_orderkey", "o_custkey"], et="o_orderdate"))
+    nations = _table(spark, sf_dir, "nation")
+    log.append(as_assertions(nations, "other", "nation", ["n_nationkey"]))
+    live = log.facts("main").withColumn("key", F.get_json_object("payload", "$.atom.args[0].value").cast("long"))
+    log.append(live.filter("key % 7 = 0").select("branch", F.lit("retract").alias("kind"), F.col("event_id").alias("target_event_id")))
+    return log, first
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.get_json_object("payload", f"$.atom.args[{i}].value").cast("long").alias(c) for i, c in enumerate(("o_orderkey", "o_custkey"))])
+
+
+def _log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_log(spark, sf_dir)[0].facts("main"))
+
+
+def _log_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, first = _log(spark, sf_dir)
+    return _placed(log.facts("main", first))
+
+
+def _log_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, _ = _log(spark, sf_dir)
+    return log.upto("main").filter("kind = 'retract'").agg(F.count("*").alias("n"), F.countDistinct("target_event_id").alias("targets"))
+
+
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, _ = _log(spark, sf_dir)
+    return log.events().groupBy("branch", "kind").agg(F.count("*").alias("n"))
+
+
+def _log_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, first = _log(spark, sf_dir)
+    return log.since(first).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+def _log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, _ = _log(spark, sf_dir)
+    kb = log.bind(KnowledgeBase(), "main", ("placed", 2))
+    return Engine(spark).evaluate(kb, '?- placed(O, "7") @{query_time:"2030-01-01T00:00:00Z"}').df
+
+
+def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.sources.log import EventLog
+    from credence.sources.shared import shared_dir
+    from credence.streaming.ingest import ingest
+
+    base = f"{shared_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    source = _table(spark, sf_dir, "nation")
+    source.write.parquet(f"{base}/in")
+    log = EventLog(spark, f"{base}/log")
+    ingest(spark.readStream.schema(source.schema).parquet(f"{base}/in"), log, f"{base}/checkpoint", "main", "nation", ["n_nationkey", "n_name"], once=True).awaitTermination()
+    df = log.facts("main")
+    return df.select(*[F.get_json_object("payload", f"$.atom.args[{i}].value").alias(c) for i, c in enumerate(("key", "name"))])
+
+
+def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = CASES["risky_customers"]
+    return Engine(spark).evaluate(knowledge(spark, sf_dir, case.program, case.uses), f"{case.query} @{{explain:true, {FOREVER}}}").events
+
+
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "merge_dedupe": (_merge_dedupe, "SELECT * FROM (VALUES ('x', 1::BIGINT, 1.0::DOUBLE, 0.0::DOUBLE, 'true'), ('y', 2, 0.5, 0.0, 'true'), ('z', 3, 1.0, 0.0, 'true')) t(\"N\", \"I\", b, d, status)"),
+    "unload_predicate": (_unload_predicate, "SELECT r_regionkey::BIGINT AS \"R\", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM region"),
+    "search": (_search, "SELECT * FROM (VALUES ('constraints', 0::BIGINT), ('entities', 1), ('facts', 1), ('predicates', 0), ('rules', 1)) t(kind, n)"),
+    "log_replay": (_log_replay, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0"),
+    "log_watermark": (_log_watermark, "SELECT o_orderkey, o_custkey FROM orders"),
+    "log_retract": (_log_retract, "SELECT count(*) AS n, count(*) AS targets FROM orders WHERE o_orderkey % 7 = 0"),
+    "branch_isolation": (_branches, "SELECT 'main' AS branch, 'assert' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'main', 'retract', count(*) FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'other', 'assert', count(*) FROM nation"),
+    "log_since": (_log_since, "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0) AS n, (SELECT count(*) FROM orders) + 1 AS first_id"),
+    "log_query": (_log_query, "SELECT o_orderkey::VARCHAR AS \"O\", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM orders WHERE o_custkey = 7 AND o_orderkey % 7 <> 0"),
+    "stream_ingest": (_stream_ingest, "SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation"),
+    "explain_events": (_explain, None),
+}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(CASES["risky_customers"])(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _run(case) for name, case in CASES.items()} | {name: f for name, (f, _) in OTHERS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: case.sql for name, case in CASES.items() if case.sql} | {name: sql for name, (_, sql) in OTHERS.items() if sql}
