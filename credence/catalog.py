@@ -60,11 +60,11 @@ def _status(b: str, d: str) -> str:
 def _sql(columns: str, inner: str, tail: str = "") -> str:
     """Answers of a relation with b and d; ``columns`` may be empty."""
     lead = f"{columns}, " if columns else ""
-    return f"SELECT {lead}round(b, 6) AS b, round(d, 6) AS d, {_status('b', 'd')} AS status FROM ({inner}) {tail}"
+    return f"SELECT {lead}round(b::DOUBLE, 6) AS b, round(d::DOUBLE, 6) AS d, {_status('b', 'd')} AS status FROM ({inner}) {tail}"
 
 
 def _or(c: str) -> str:
-    return f"1 - product(1 - {c})"
+    return f"(1 - product(1 - ({c})))"
 
 
 _ITEMS = f"(SELECT l_orderkey, l_partkey, l_suppkey, {_or('(1 - l_discount)')} AS b, {_or('l_tax')} AS d FROM lineitem GROUP BY ALL)"

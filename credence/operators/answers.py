@@ -21,8 +21,9 @@ def sort_keys(v: Val) -> list[Column]:
     if v.kind == "term":
         rank = F.coalesce(*[F.when(v.col["tag"] == t, n) for t, n in _RANK.items()])
         return [v.col.isNull(), rank, v.col["txt"], v.col["num"], v.col["us"]]
-    rank = F.when(whole(v.col), _RANK["int"]).otherwise(_RANK["float"]) if v.kind == "num" else F.lit(_RANK[v.kind])
-    return [v.col.isNull(), rank, v.col]
+    # a column of one type needs no rank, and a literal would be taken for a column's position
+    rank = [F.when(whole(v.col), _RANK["int"]).otherwise(_RANK["float"])] if v.kind == "num" else []
+    return [v.col.isNull(), *rank, v.col]
 
 
 @dataclass(frozen=True)
