@@ -15,7 +15,7 @@ from credence.plans import syntax
 from credence.plans.macros import Registry
 from credence.plans.model import AnyGoal, Assume, Atom, Builtin, Constraint, Fact, Goal, Note, Predicate, Rule, Signature, Var
 
-ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "cp1252", "latin-1")
+ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
 
 
 class DuplicateDeclaration(ValueError):
@@ -194,7 +194,8 @@ class KnowledgeBase:
     def load(cls, path: str, fix: bool = False) -> KnowledgeBase:
         """A program or JSON file, in whichever usual encoding it is."""
         raw = Path(path).read_bytes()
-        for encoding in ENCODINGS:
+        marked = raw[:2] in (b"\xff\xfe", b"\xfe\xff")  # nearly any bytes would pass as unmarked utf-16
+        for encoding in ("utf-16", *ENCODINGS) if marked else ENCODINGS:
             try:
                 text = raw.decode(encoding)
                 break
