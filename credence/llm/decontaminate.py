@@ -35,6 +35,10 @@ def _shingles(words: Column, width: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, width), " "))
 
 
+def _up_to(hashes: Column, bound: int) -> Column:
+    return F.filter(hashes, lambda h: h <= F.lit(bound))
+
+
 def item_sketches(benchmark: DataFrame, item_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
     """(item_id, width, size, shingles, sketch, size_class) of the items that have a word."""
     words = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(text_col)).alias("w")).filter("size(w) > 0")
@@ -68,7 +72,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sketch = F.broadcast(sketch)
     hits = []
     for r in found:
-        kept = F.filter(F.transform(_shingles(F.col("w"), r.width), lambda s: F.xxhash64(s)), lambda h, top=r.bound: h <= F.lit(top))
+        kept = _up_to(F.transform(_shingles(F.col("w"), r.width), lambda s: F.xxhash64(s)), r.bound)
         hits.append(worded.select("doc_id", F.explode(kept).alias("h"), F.lit(r.width).alias("width")))
     if not hits:
         return data.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_shingles"), F.lit(0.0).alias("containment")).filter("false")
