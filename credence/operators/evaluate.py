@@ -50,11 +50,15 @@ class Evaluator:
         return [f for f in self.kb.facts if f.atom.signature == p and self._visible(f.note)] + [f for f in self.assumed if f.atom.signature == p]
 
     def _bound(self, x: Binding) -> DataFrame:
-        valid, known = (F.lit(self.times[k].isoformat()).cast("timestamp") for k in ("valid_at", "known_at"))
+        """Its visible rows.  Moments without a zone are UTC and are compared as such, whatever the session's zone,
+        and without a cast of the column, so that the filter reaches the scan."""
         df = x.df
-        for c, test in ((x.et, lambda c: c <= known), (x.vf, lambda c: c <= valid), (x.vt, lambda c: c >= valid)):
+        for c, test, cut in ((x.et, Column.__le__, "known_at"), (x.vf, Column.__le__, "valid_at"), (x.vt, Column.__ge__, "valid_at")):
             if c is not None:
-                df = df.filter(c.isNull() | test(c.cast("timestamp")))
+                at = self.times[cut]
+                zoned = not isinstance(df.select(c).schema[0].dataType, T.TimestampNTZType)
+                limit = F.lit(at.isoformat()).cast("timestamp") if zoned else F.lit(at.replace(tzinfo=None).isoformat()).cast("timestamp_ntz")
+                df = df.filter(c.isNull() | test(c, limit))
         return df
 
     def _find_kinds(self) -> None:
