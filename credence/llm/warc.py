@@ -50,7 +50,8 @@ def resolve_revisits(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
     """
     picked = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "at", "kind", "status", "etag", "last_modified", "headers", "payload_digest")
     placed = picked.filter("canonical is not null and at is not null")
-    n_ranges = max(1, placed.count() // range_rows)
+    # as many ranges as the cluster has shuffle partitions, and more where they would hold more rows than that
+    n_ranges = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // range_rows)
     ranged = placed.repartitionByRange(n_ranges, "canonical", "at", "record_id").withColumn("range", F.spark_partition_id())
     rows = shared_table(ranged, "warc-ranges")
     full = (F.col("kind") == "response") & (F.col("status") == 200)
