@@ -250,6 +250,25 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*[F.get_json_object("payload", f"$.atom.args[{i}].value").alias(c) for i, c in enumerate(("key", "name"))])
 
 
+def _materialization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms evaluated from the log and kept with their watermark, of which later events make no part."""
+    from credence.sources.log import EventLog, Materialization
+    from credence.sources.shared import shared_dir
+
+    base = f"{shared_dir(spark)}/made-{next(tempfile._get_candidate_names())}"
+    log = EventLog(spark, f"{base}/log")
+    log.record(KnowledgeBase.parse("edge(a, b). edge(b, c). path(X, Y) :- edge(X, Y). path(X, Y) :- edge(X, Z), path(Z, Y)."))
+    made = Materialization(log, f"{base}/idb")
+    made.build("main", "?- path(X, Y)")
+    log.record(KnowledgeBase.parse("edge(c, d)."))
+    return made.read("main").select("X", "Y", "b", "d", "status", F.lit(made.stale("main")).alias("stale"))
+
+
+def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = KnowledgeBase.parse('p(a, 1.5). p(b, "x"). p(c, d"2024-02-29"). q(X) :- p(X, V), not r(X) @{b:0.5}. r(b).')
+    return Engine(spark).evaluate(KnowledgeBase.from_json(kb.to_json()), "?- q(X)").df
+
+
 def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = CASES["risky_customers"]
     return Engine(spark).evaluate(knowledge(spark, sf_dir, case.program, case.uses), f"{case.query} @{{explain:true, {FOREVER}}}").events
@@ -266,6 +285,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "log_since": (_log_since, "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0) AS n, (SELECT count(*) FROM orders) + 1 AS first_id"),
     "log_query": (_log_query, "SELECT o_orderkey::VARCHAR AS \"O\", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM orders WHERE o_custkey = 7 AND o_orderkey % 7 <> 0"),
     "stream_ingest": (_stream_ingest, "SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation"),
+    "materialization": (_materialization, "SELECT *, 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status, true AS stale FROM (VALUES ('a', 'b'), ('b', 'c'), ('a', 'c')) t(\"X\", \"Y\")"),
+    "json_round_trip": (_json_round_trip, "SELECT *, 0.5::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM (VALUES ('a'), ('c')) t(\"X\")"),
     "explain_events": (_explain, None),
 }
 
