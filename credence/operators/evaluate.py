@@ -15,6 +15,7 @@ from credence.functions.semantics import EPS
 from credence.functions.values import SPARK_TYPE, Val, as_kind, as_utc, from_spark, group_key, literal, to_term
 from credence.operators.body import Body, Provider, Relation, compile_body, kinds_of, merged
 from credence.plans.analysis import Graph, applicable
+from credence.plans.demand import rewrite
 from credence.plans.model import AnyGoal, Assume, Atom, Const, Fact, Goal, Note, Options, Rule, Signature, Var
 from credence.sources.kb import Binding, KnowledgeBase
 from credence.sources.shared import stored
@@ -37,15 +38,36 @@ class Evaluator:
         self.assumed = [Fact(a, Note()) for g in goals if isinstance(g, Assume) for a in g.atoms if not list(a.variables())]
         self.graph = Graph(goals, kb.rules, kb.constraints)
         self.known: dict[Signature, Relation] = {}
+        self.facts_of: dict[Signature, Signature] = {}
+        self._ask_only_what_is_needed()
         self.kinds: dict[Signature, tuple[str | None, ...]] = {}
         self._find_kinds()
 
+    def _ask_only_what_is_needed(self) -> None:
+        """Where the question binds arguments of a recursion, evaluate what those can reach and no more."""
+        constrained = {g.atom.signature for c in self.kb.constraints for g in c.goals if isinstance(g, Goal)}
+        found = rewrite(self.goals, self.graph, constrained)
+        if found is None:
+            return
+        base = self.kb.copy()
+        base.facts, base.rules = [*self.kb.facts, *found.seeds], [*self.kb.rules, *found.passing]
+        options = self.options.with_(semantics=self.semantics.with_(support_aggregation="maximum"), query_time=self.times["query_time"])
+        seeded = Evaluator(self.spark, base, tuple(Goal(a) for a in found.wanted), options)
+        seeded.times, seeded.assumed = self.times, self.assumed
+        self.kb, self.goals, self.facts_of = self.kb.copy(), found.goals, found.copied
+        self.kb.rules += found.rules
+        for a in found.wanted:
+            df = stored(seeded.relation(a.signature).df.drop("b", "d"), "demand")
+            self.kb.bind(a.pred, df, [f"a{i}" for i in range(len(a.args))], distinct=True)
+        self.graph = Graph(self.goals, self.kb.rules, self.kb.constraints)
+
     # facts
     def _visible(self, n: Note) -> bool:
         valid, known = self.times["valid_at"], self.times["known_at"]
         return (n.et is None or as_utc(n.et) <= known) and (n.vf is None or as_utc(n.vf) <= valid) and (n.vt is None or valid <= as_utc(n.vt))
 
     def _facts(self, p: Signature) -> list[Fact]:
+        p = self.facts_of.get(p, p)
         # assumptions are there whatever the times
         return [f for f in self.kb.facts if f.atom.signature == p and self._visible(f.note)] + [f for f in self.assumed if f.atom.signature == p]
 
@@ -67,7 +89,7 @@ class Evaluator:
             found: tuple[str | None, ...] = (None,) * p[1]
             for f in self._facts(p):
                 found = merged(found, tuple(a.kind for a in f.atom.args))
-            for x in self.kb.bindings.get(p, []):
+            for x in self.kb.bindings.get(self.facts_of.get(p, p), []):
                 types = x.df.select(*[c.alias(f"a{i}") for i, c in enumerate(x.args)]).schema
                 found = merged(found, tuple(from_spark(F.lit(None), t.dataType).kind for t in types))
             kinds[p] = found
@@ -98,13 +120,14 @@ class Evaluator:
                 rows = [F.struct(*[as_kind(literal(a), kinds[i]).alias(f"a{i}") for i, a in enumerate(f.atom.args)], F.lit(float(f.note.b)).alias("b"), F.lit(float(f.note.d)).alias("d")) for f in facts]
                 out.append(self.spark.range(1).select(F.inline(F.array(*rows))))
         distinct = not facts
-        for x in self.kb.bindings.get(p, []):
+        bound = self.kb.bindings.get(self.facts_of.get(p, p), [])
+        for x in bound:
             types = x.df.select(*[c.alias(f"a{i}") for i, c in enumerate(x.args)]).schema
             cols = [as_kind(from_spark(c, t.dataType), k).alias(f"a{i}") for i, (c, t, k) in enumerate(zip(x.args, types, kinds, strict=True))]
             weight = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
             df = self._bound(x).select(*cols, weight(x.b).alias("b"), weight(x.d).alias("d"))
             out.append(df.dropna(subset=[f"a{i}" for i in range(p[1])]))
-            distinct = distinct and x.distinct and len(self.kb.bindings[p]) == 1
+            distinct = distinct and x.distinct and len(bound) == 1
         return out, distinct and bool(out)
 
     @staticmethod
