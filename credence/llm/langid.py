@@ -174,7 +174,7 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     def run(batches):
         for b in batches:
-            made = [model.predict(t) for t in b.column(at).to_pylist()]
+            made = [model.predict(t) for k in range(0, b.num_rows, 256) for t in b.column(at).slice(k, 256).to_pylist()]
             cols = list(zip(*made, strict=True)) or [(), (), ()]
             new = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())]
             yield pa.record_batch([*b.columns, *new], [*b.schema.names, *names])

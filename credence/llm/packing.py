@@ -107,11 +107,10 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
             return pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(cols[k], pa.int64()) for k in range(1, 5)), pa.array(sequence), pa.array(offset), pa.array(cols[5], pa.int64())], fields)
 
         for b in batches:
-            doc_ids = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
             full: list[tuple] = []
-            for at in range(0, len(texts), 512):
-                for doc_id, ids in zip(doc_ids[at : at + 512], enc.encode(texts[at : at + 512]), strict=True):
+            for at in range(0, b.num_rows, 512):
+                doc_ids, texts = b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist()
+                for doc_id, ids in zip(doc_ids, enc.encode([t or "" for t in texts]), strict=True):
                     n = len(ids) + 1
                     data = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                     start = 0

@@ -181,9 +181,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         ids, lengths, names = [], [], []
         for b in batches:
             names += b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 512):
-                for own in enc.encode(texts[at : at + 512]):
+            for at in range(0, b.num_rows, 512):
+                for own in enc.encode([t or "" for t in b.column(1).slice(at, 512).to_pylist()]):
                     ids += [own, end]
                     lengths.append(len(own) + 1)
         if names:
