@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from credence.llm.common import hex64, lookup, shared_table, ship
 
-#: At most so many fingerprints are fetched to choose vantage points and radii.
+#: At most so many fingerprints are fetched to choose vantage points and radii, and at most half of all.
 TREE_SAMPLE = 8192
 #: Mean number of classes that have their home in a leaf.
 LEAF_TARGET = 512
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary()).to_pylist()
+            texts = (t for k in range(0, b.num_rows, 256) for t in b.column(1).slice(k, 256).cast(pa.binary()).to_pylist())
             fps = [fingerprint(shingle_hashes(t, width)) if t else 0 for t in texts]
             yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
@@ -130,7 +130,9 @@ def near_links(classes: DataFrame, max_bits: int = 2, tree_sample: int = TREE_SA
     """
     ship(classes.sparkSession)
     n = classes.count()
-    taken = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(tree_sample).collect()
+    # a bound on a hash takes about so many; sorting would send as many from every task
+    rank = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    taken = classes.select("fp").filter(rank < min(0.5, 0.9 * tree_sample / max(1, n))).limit(tree_sample).collect()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / leaf_target)))))
     tree = VantageTree(np.array([r.fp for r in taken], np.int64).view(np.uint64), depth)
 
