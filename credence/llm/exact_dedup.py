@@ -103,6 +103,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows with a null id stay only where no other copy does."""
-    keep = exact_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns; rows with a null id stay only where no other copy has an id.
+
+    A row goes by its id and text, so what else has its id, or also a null one, isn't touched.  Rows of one text repeated
+    with the id that stays are all kept, as are those of a text that only null ids have.
+    """
+    gone = exact_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
