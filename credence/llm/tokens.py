@@ -3,8 +3,8 @@
 The tokenizer splits a text at its white space before merging, so a text whose white space is single blanks
 and line ends is the sequence of its words with what precedes them, each encoded on its own.  Most words of a
 corpus come again, so their ids are kept, up to a bound, under 128-bit hashes in sorted arrays, which take a tenth of a
-dictionary's memory.  Texts with other or repeated white space go to the tokenizer whole; the ids are the same
-either way.
+dictionary's memory.  Texts with other or repeated white space, or with a special token spelled out, go to the
+tokenizer whole; the ids are the same either way.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens of the vocabulary that a text may hold literally; only the tokenizer finds them in it.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.kept_words = kept_words
         # of each word kept: its hash in two halves, in the order of the first, and its row
@@ -108,7 +109,7 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         easy: list[int] = []
         for i, t in enumerate(texts):
-            if any(x in t for x in _ODD_SPACE):
+            if any(x in t for x in _ODD_SPACE) or any(x in t for x in self.added):
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
             else:
                 easy.append(i)
