@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams; scanning uses DataFrame functions only.
 
-A paragraph (a line of text) is reduced to its words that occur in the model's vocabulary; their n-grams are the
+A paragraph (a line of text, or lines that follow each other) is reduced to its words that occur in the model's vocabulary; their n-grams are the
 features of a multinomial logistic regression over licence families and ``unknown``.  Scores are scaled on
 held-back rows, and a family counts as unknown below the probability at which held-back ordinary
 paragraphs never pass.  Each prediction is then compared with the family's templates: the share of a template's words
@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Documents whose paragraphs serve as ordinary text in training; the one bounded sample.
+#: Documents whose paragraphs serve as ordinary text in training; a bounded sample.
 TRAIN_DOCS = 300
+#: Lines of each of them, from its start, that are used.
+TRAIN_LINES = 8
 MAX_GRAM = 3
 #: Features of a model at most, so that their weights may be broadcast.
 MAX_FEATURES = 4096
@@ -209,8 +211,11 @@ def fit(rows: list[tuple[str, str]], rounds: int = 400) -> Model:
     return Model(families, tuple(sorted(vocabulary)), tuple(sorted(anchors)), {g: w[i].astype(float) for g, i in slot.items()}, b.astype(float), scale, least)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = TRAIN_DOCS) -> Model:
-    """A model whose ordinary text comes from ``sample_docs`` documents at most, those with the smallest id hashes."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = TRAIN_DOCS, sample_lines: int | None = TRAIN_LINES) -> Model:
+    """A model whose ordinary text comes from ``sample_docs`` documents at most, those with the smallest id hashes.
+
+    The first ``sample_lines`` lines of each are used, or all if it is None; the fit's time and memory grow with them.
+    """
     usable = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     # by a bound on the hash, not by sorting, for which every task would send its own smallest to the driver
     share = sample_docs / max(1, usable.count())
@@ -218,7 +223,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     taken = usable.filter(rank < share).select(F.xxhash64(id_col).alias("h"), id_col, text_col).limit(2 * sample_docs).collect()
     taken = sorted(taken, key=lambda r: (r[0], r[1], r[2]))[:sample_docs]
     notices = [set(_clean(t)) for texts in TEMPLATES.values() for t in texts]
-    lines = [p for r in taken for p in r[2].split("\n")[:8] if p.strip()]
+    lines = [p for r in taken for p in r[2].split("\n")[:sample_lines] if p.strip()]
     # lines that look like notices are left out, as they may be some
     return fit(labelled([p for p in lines if max(len(n & set(_clean(p))) / len(n) for n in notices) < CONFIRM]))
 
@@ -226,28 +231,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph, family, probability, similarity, confirmed of every paragraph found to state a licence.
 
-    Paragraphs are the lines of the text, numbered from 0.  Null and empty texts have none; null and repeated ids
-    keep their rows.  Extra columns are ignored; an empty table gives no rows.
+    Paragraphs are the lines of the text, numbered from 0; then each run of two or more lines that have words and
+    aren't confirmed alone is judged whole, and where that is confirmed, it has the number of its first line and takes the
+    place of its lines.  Null and empty texts have none; null and repeated ids keep their rows.  Extra columns are
+    ignored; an empty table gives no rows.
     """
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "line"))
-    vocabulary = list(model.vocabulary)
-    words = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("all"))
-    words = words.filter(F.arrays_overlap("all", F.array(*map(F.lit, model.anchors)).cast("array<string>")))
-    words = words.withColumn("own", F.filter("all", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False)))
+    vocabulary, k = list(model.vocabulary), len(model.families)
+    anchors = F.array(*map(F.lit, model.anchors)).cast("array<string>")
     none = F.array().cast("array<string>")
-
-    def grams(n: int) -> Column:
-        last = F.size("own") - n + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("own", i, n), " "))).otherwise(none)
-
-    k = len(model.families)
-    rows = words.select("doc_id", "paragraph", "all", F.array_distinct(F.concat(*[grams(n) for n in range(1, MAX_GRAM + 1)])).alias("grams"))
-    # a paragraph's n-grams are looked up in place, in a constant of at most MAX_FEATURES entries; nothing is grouped
+    # n-grams are looked up in place, in a constant of at most MAX_FEATURES entries; nothing is grouped
     table = json.dumps({g: [float(v) for v in w] for g, w in model.weights.items()})
     weights = F.from_json(F.lit(table), "map<string,array<double>>")
     start = F.array(*[F.lit(float(v)) for v in model.bias])
     zero = F.array(*[F.lit(0.0)] * k)
-    z = F.aggregate("grams", start, lambda z, g: F.zip_with(z, F.coalesce(F.try_element_at(weights, g), zero), lambda a, b: a + b))
+
+    def grams(own: Column) -> Column:
+        def of(n: int) -> Column:
+            last = F.size(own) - n + 1
+            return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(own, i, n), " "))).otherwise(none)
+
+        return F.array_distinct(F.concat(*[of(n) for n in range(1, MAX_GRAM + 1)]))
 
     def softmax(z: Column) -> Column:
         powers = _let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(F.lit(model.scale) * (v - top))))
@@ -256,9 +259,37 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def best(p: Column) -> Column:
         return F.greatest(*[F.struct(p[i].alias("probability"), F.lit(-i).alias("i"), F.lit(f).alias("family")) for i, f in enumerate(model.families[:-1])])
 
-    # exploding keeps the optimizer from computing it twice
-    found = rows.select("doc_id", "paragraph", "all", F.explode(F.array(_let(_let(z, softmax), best))).alias("best")).filter(F.col("best.probability") >= model.least)
-    similar = [F.when(F.col("best.family") == f, F.greatest(*[F.size(F.array_intersect(F.array(*map(F.lit, ws)), "all")) / len(ws) for ws in [list(dict.fromkeys(_clean(t))) for t in texts]], F.lit(0.0))) for f, texts in TEMPLATES.items()]
-    similarity = F.coalesce(*similar, F.lit(0.0))
-    out = found.select("doc_id", "paragraph", F.col("best.family").alias("family"), F.col("best.probability").alias("probability"), similarity.alias("similarity"))
+    def judged(words: Column) -> Column:
+        """The family of a paragraph of these words, or null."""
+
+        def compared(top: Column) -> Column:
+            similar = [F.when(top["family"] == f, F.greatest(*[F.size(F.array_intersect(F.array(*map(F.lit, ws)), words)) / len(ws) for ws in [list(dict.fromkeys(_clean(t))) for t in texts]], F.lit(0.0))) for f, texts in TEMPLATES.items()]
+            similarity = F.coalesce(*similar, F.lit(0.0))
+            return F.when(top["probability"] >= model.least, F.struct(top["family"].alias("family"), top["probability"].alias("probability"), similarity.alias("similarity")))
+
+        own = F.filter(words, lambda w: w.isin(vocabulary) if vocabulary else F.lit(False))
+        z = lambda g: F.aggregate(g, start, lambda z, g: F.zip_with(z, F.coalesce(F.try_element_at(weights, g), zero), lambda a, b: a + b))
+        found = _let(own, lambda o: _let(grams(o), lambda g: _let(z(g), lambda v: _let(softmax(v), lambda p: _let(best(p), compared)))))
+        return F.when(F.arrays_overlap(words, anchors), found)
+
+    def row(at: Column, size: Column, v: Column) -> Column:
+        return F.struct(at.alias("at"), size.alias("size"), v.alias("v"))
+
+    def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+        # exploding keeps the optimizer from computing it twice
+        return df.select("*", F.explode(F.array(value)).alias(name))
+
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("lines"))
+    words = once(lines, F.transform("lines", _words), "words").drop("lines")
+    words = words.filter(F.exists("words", lambda w: F.arrays_overlap(w, anchors)))
+    each = once(words, F.transform("words", judged), "judged")
+    sure = lambda v: F.coalesce(v["similarity"] >= CONFIRM, F.lit(False))
+    ends = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.size(F.get("words", i)) == 0) | sure(F.get("judged", i)))
+    each = once(each, F.concat(F.array(F.lit(-1)), ends, F.array(F.size("words"))), "ends")
+    runs = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda j: F.struct((F.get("ends", j - 1) + 1).alias("at"), (F.get("ends", j) - F.get("ends", j - 1) - 1).alias("size")))
+    whole = F.transform(F.filter(runs, lambda r: r["size"] > 1), lambda r: row(r["at"], r["size"], _let(F.flatten(F.slice("words", r["at"] + 1, r["size"])), judged)))
+    each = once(each, F.filter(whole, lambda r: sure(r["v"])), "runs")
+    alone = F.filter(F.transform("judged", lambda v, i: row(i, F.lit(1), v)), lambda r: r["v"].isNotNull() & ~F.exists("runs", lambda x: (x["at"] <= r["at"]) & (r["at"] < x["at"] + x["size"])))
+    found = each.select("doc_id", F.explode(F.concat(alone, "runs")).alias("r"))
+    out = found.select("doc_id", F.col("r.at").alias("paragraph"), "r.v.family", "r.v.probability", "r.v.similarity")
     return out.withColumn("confirmed", F.col("similarity") >= CONFIRM)
