@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -189,10 +188,10 @@ def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _log(spark: SparkSession, sf_dir: str):
     """A log of all orders as facts, of which those of every seventh key are retracted; and another branch."""
     from credence.sources.log import EventLog
-    from credence.sources.shared import shared_dir
+    from credence.sources.shared import fresh_path
     from credence.streaming.ingest import as_assertions
 
-    log = EventLog(spark, f"{shared_dir(spark)}/log-{next(tempfile._get_candidate_names())}")
+    log = EventLog(spark, fresh_path(spark, "log"))
     orders = _table(spark, sf_dir, "orders")
     first = log.append(as_assertions(orders, "main", "placed", ["o_orderkey", "o_custkey"], et="o_orderdate"))
     nations = _table(spark, sf_dir, "nation")
@@ -238,10 +237,10 @@ def _log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from credence.sources.log import EventLog
-    from credence.sources.shared import shared_dir
+    from credence.sources.shared import fresh_path
     from credence.streaming.ingest import ingest
 
-    base = f"{shared_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    base = fresh_path(spark, "stream")
     source = _table(spark, sf_dir, "nation")
     source.write.parquet(f"{base}/in")
     log = EventLog(spark, f"{base}/log")
@@ -253,9 +252,9 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _materialization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atoms evaluated from the log and kept with their watermark, of which later events make no part."""
     from credence.sources.log import EventLog, Materialization
-    from credence.sources.shared import shared_dir
+    from credence.sources.shared import fresh_path
 
-    base = f"{shared_dir(spark)}/made-{next(tempfile._get_candidate_names())}"
+    base = fresh_path(spark, "made")
     log = EventLog(spark, f"{base}/log")
     log.record(KnowledgeBase.parse("edge(a, b). edge(b, c). path(X, Y) :- edge(X, Y). path(X, Y) :- edge(X, Z), path(Z, Y)."))
     made = Materialization(log, f"{base}/idb")
