@@ -5,13 +5,17 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credence.sources.shared import fresh_path, scratch, shared_dir, stored
+
+__all__ = ["fresh_path", "scratch", "shared_dir"]  # re-exported beside what is defined here
+
 #: A key that holds at least this share of the rows is "hot"; there can be at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 
@@ -35,28 +39,25 @@ def ship(spark: SparkSession) -> None:
     context._credence_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if option.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="credence-"))
-            option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = option.get()
-    return found.rstrip("/")
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
+    return stored(df, label)
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, made longer until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def without_rows(docs: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` aren't a row of ``gone``; nulls equal nulls.  No name of either clashes."""
+    names = [free_name(docs.columns, f"gone_{i}") for i in range(len(keys))]
+    gone = gone.toDF(*names)
+    same = [k.eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return docs.join(gone, reduce(lambda x, y: x & y, same), "left_anti")
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, n_left: int) -> DataFrame:
@@ -75,6 +76,11 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, n_le
     return at_hot.unionByName(at_rest)
 
 
+def row_hash(id_col: Column, text: Column) -> Column:
+    """A number for a row by its id and text, spread evenly whatever is null or repeated."""
+    return F.xxhash64(id_col.isNull(), id_col, text.isNull(), text)
+
+
 def hex64(c: Column) -> Column:
     """A long as 16 lowercase hex digits of its unsigned value."""
     return F.lpad(F.lower(F.hex(c)), 16, "0")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from credence.llm.common import fresh_path, lookup, shared_table
+from credence.llm.common import fresh_path, lookup, shared_table, without_rows
 
 #: ASCII white space, deleted before texts are compared.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -108,6 +108,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A row goes by its id and text, so what else has its id, or also a null one, isn't touched.  Rows of one text repeated
     with the id that stays are all kept, as are those of a text that only null ids have.
     """
-    gone = exact_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    gone = exact_duplicates(docs, id_col, text_col).filter("not kept").select("doc_id", "text_sha256").distinct()
     sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
+    return without_rows(docs, gone, [F.col(id_col).cast("long"), sha])

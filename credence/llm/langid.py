@@ -3,7 +3,8 @@
 Each language has a codeword; for every bit a binary classifier over hashed byte n-grams says on which side
 of the bit's dichotomy a text lies.  Decoding sums the logistic losses of the bits against each codeword, weighted by
 how well a bit's classifier did on held-back training rows, and takes the codeword of least loss.  A text
-whose two nearest codewords are close is flagged as ambiguous; one without any letter is ``und``.
+whose two nearest codewords are close is flagged as ambiguous; one without any letter is ``und``.  A text is rejected
+if it has no letter, or if no codeword is nearer to it than to a text of which the bits' classifiers know nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import ship
+from credence.llm.common import free_name, ship
 
 UNDETERMINED = "und"
 #: Labelled rows that a model is fitted on, over all languages together; the one bounded sample.
@@ -24,6 +25,8 @@ TRAIN_ROWS = 3000
 DIM_BITS = 13
 #: Languages are codewords of this many bits at least.
 MIN_BITS = 7
+#: Columns of predictions.
+NAMES = ("lang_pred", "lang_score", "lang_ambiguous", "lang_rejected")
 #: Ambiguous if the best language's probability is not so much larger than the second's.
 MARGIN = 0.2
 _CHUNK = 1 << 19
@@ -83,16 +86,19 @@ class Model:
             n += len(slots)
         return total / max(1, n) + self.bias
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score from 0 to 1, and whether it is ambiguous."""
+    def predict(self, text: str | None) -> tuple[str, float, bool, bool]:
+        """Language, score from 0 to 1, whether it is ambiguous, and whether the text is rejected."""
         if not has_letter(text):
-            return UNDETERMINED, 0.0, False
+            return UNDETERMINED, 0.0, False, True
+        if self.languages == (UNDETERMINED,):  # nothing was learned, so nothing can be told
+            return UNDETERMINED, 0.0, False, False
         loss = np.logaddexp(0, -self.code * self.margins(text)) @ self.trust
         p = np.exp(-self.scale * (loss - loss.min()))
         p /= p.sum()
         best = int(np.argmax(p))
         others = np.delete(p, best)
-        return self.languages[best], float(p[best]), bool(len(others) and p[best] - others.max() < MARGIN)
+        unlike_all = loss[best] >= np.log(2) * self.trust.sum()  # the loss where all margins are 0
+        return self.languages[best], float(p[best]), bool(len(others) and p[best] - others.max() < MARGIN), bool(unlike_all)
 
 
 def fit(rows: list[tuple[str, str]], rounds: int = 300, seed: int = 11) -> Model:
@@ -165,19 +171,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(r[0], r[1]) for r in picked[:rows]])
 
 
-def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_ambiguous put after its columns (replacing any of these names)."""
+def predictions(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """All columns of ``docs`` but those called ``names``, and then predictions under ``names``: language, score, ambiguity, rejection.
+
+    Null and empty texts, and others without a letter, are ``und`` with score 0 and rejected.  Every row has its own
+    prediction, whatever its id, so repeated rows and null ids keep theirs; a tie of codewords goes to the first language in
+    order.  Very long texts are read whole, in pieces.  An empty table gives no rows.
+    """
     ship(docs.sparkSession)
-    names = ["lang_pred", "lang_score", "lang_ambiguous"]
-    kept = docs.select(*[c for c in docs.columns if c not in names])
+    replaced = {n.lower() for n in names}
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in replaced])
     at = kept.columns.index(text_col)
 
     def run(batches):
         for b in batches:
             made = [model.predict(t) for k in range(0, b.num_rows, 256) for t in b.column(at).slice(k, 256).to_pylist()]
-            cols = list(zip(*made, strict=True)) or [(), (), ()]
-            new = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())]
-            yield pa.record_batch([*b.columns, *new], [*b.schema.names, *names])
+            cols = list(zip(*made, strict=True)) or [(), (), (), ()]
+            new = [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
+
+    types = (T.StringType(), T.DoubleType(), T.BooleanType(), T.BooleanType())
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *map(T.StructField, names, types)]))
+
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())])
-    return kept.mapInArrow(run, schema)
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns, whatever those are called."""
+    names = tuple(free_name(docs.columns, n) for n in NAMES)
+    found = predictions(docs, model, text_col, names)
+    return found.filter(~F.col(names[3])).select(*[F.col(f"`{c}`") for c in docs.columns])
