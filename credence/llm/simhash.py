@@ -5,8 +5,11 @@ vantage-point tree partitions the classes by Hamming distance.  A node keeps a v
 radius; what lies within the radius goes inside, the rest outside.  By the triangle inequality two
 fingerprints within ``max_bits`` of each other differ by at most ``max_bits`` in their distance to any
 vantage, so only the outer ones within ``max_bits`` of the boundary are also sent inside, as guests, and
-every other branch is pruned.  Each leaf is a shard in which homes are compared with homes and guests, which
-meets each pair exactly once.  Links become components by alternating star contractions over shared tables.
+every other branch is pruned.
+
+Each level makes some more guests, so the tree by which classes are shuffled is shallow and its leaves are large shards; the
+owner of a shard grows the tree on over what it holds, down to small leaves, where homes are compared with homes and
+guests, which meets each pair exactly once.  Links become components by alternating star contractions over shared tables.
 """
 
 from __future__ import annotations
@@ -17,14 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from credence.llm.common import hex64, lookup, shared_table, ship
+from credence.llm.common import free_name, hex64, lookup, shared_table, ship, without_rows
 
 #: At most so many fingerprints are fetched to choose vantage points and radii, and at most half of all.
 TREE_SAMPLE = 8192
-#: Mean number of classes that have their home in a leaf.
-LEAF_TARGET = 512
-MAX_DEPTH = 20
+#: Mean number of classes that have their home in a shard, and in a leaf of its own tree.
+SHARD_TARGET = 1 << 16
+LEAF_TARGET = 256
+#: Levels of the tree of shards: enough for some dozens of tasks, and no more than a broadcast tree of some MB.
+MIN_DEPTH, MAX_DEPTH = 6, 18
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
@@ -50,18 +56,24 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document; ``fp`` is the unsigned fingerprint as a signed long."""
-
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", width: int = 3) -> DataFrame:
+    """All columns of ``docs`` and after them, under ``name``, the unsigned fingerprint of each row's text as a signed long."""
     ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
     def run(batches):
         for b in batches:
-            texts = (t for k in range(0, b.num_rows, 256) for t in b.column(1).slice(k, 256).cast(pa.binary()).to_pylist())
-            fps = [fingerprint(shingle_hashes(t, width)) if t else 0 for t in texts]
-            yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            texts = (t for k in range(0, b.num_rows, 256) for t in b.column(at).slice(k, 256).cast(pa.binary()).to_pylist())
+            fps = np.array([fingerprint(shingle_hashes(t, width)) if t else 0 for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, name])
 
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(doc_id, fp): one row per document."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return with_fingerprint(picked, "fp", "text", width).select("doc_id", "fp")
 
 
 class VantageTree:
@@ -93,9 +105,9 @@ class VantageTree:
             inside = d <= self.radius[node]
             parts[2 * node + 1], parts[2 * node + 2] = own[inside], own[~inside]
 
-    def route(self, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home) for every leaf that a fingerprint lives in or visits as a guest."""
-        row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+    def route(self, fps: np.ndarray, max_bits: int, at_home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, home) for every leaf that a fingerprint lives in or visits as a guest; those not ``at_home`` only visit."""
+        row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool) if at_home is None else at_home
         for _ in range(self.depth):
             d = np.bitwise_count(fps[row] ^ self.vantage[node]).astype(np.int16)
             r = self.radius[node]
@@ -123,45 +135,68 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def near_links(classes: DataFrame, max_bits: int = 2, tree_sample: int = TREE_SAMPLE, leaf_target: int = LEAF_TARGET) -> DataFrame:
-    """(a, b): links that join what fingerprints differing in at most ``max_bits`` bits join, of classes (rep, fp; fp unique).
-
-    Within a leaf, pairs are joined to sets at once, so a leaf gives no more links than it has rows.
+def leaf_links(fp: np.ndarray, home: np.ndarray, label: np.ndarray, max_bits: int) -> None:
+    """Join in ``label`` what is linked among the homes, and between them and the guests, of one leaf."""
+    order = np.argsort(~home, kind="stable")
+    fp, n_home = fp[order], int(home.sum())
+    step = max(1, (1 << 22) // max(1, len(fp)))
+    for at in range(0, n_home, step):
+        block = fp[at : min(at + step, n_home), None]
+        x, y = np.nonzero(np.bitwise_count(block ^ fp[None, at:]) <= max_bits)
+        keep = y > x
+        _union(label, order[at + x[keep]], order[at + y[keep]])
+
+
+def shard_links(fp: np.ndarray, home: np.ndarray, max_bits: int, leaf_target: int = LEAF_TARGET) -> np.ndarray:
+    """The smallest member of each one's set, after linking homes with homes and guests by a tree of the shard's own."""
+    depth = max(0, int(np.ceil(np.log2(max(1, home.sum()) / leaf_target))))
+    own = fp[home]
+    tree = VantageTree(own[:: max(1, len(own) // TREE_SAMPLE)], depth)
+    row, leaf, at_home = tree.route(fp, max_bits, home)
+    order = np.argsort(leaf, kind="stable")
+    row, leaf, at_home = row[order], leaf[order], at_home[order]
+    cuts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]])) if len(leaf) else np.zeros(1, np.int64)
+    label = np.arange(len(fp))
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        members = row[a:z]
+        inner = np.arange(z - a)
+        leaf_links(fp[members], at_home[a:z], inner, max_bits)
+        linked = np.flatnonzero(inner != np.arange(z - a))
+        if len(linked):
+            _union(label, members[linked], members[inner[linked]])
+    return label
+
+
+def near_links(classes: DataFrame, max_bits: int = 2, tree_sample: int = TREE_SAMPLE, leaf_target: int = SHARD_TARGET) -> DataFrame:
+    """(a, b): links that join what fingerprints differing in at most ``max_bits`` bits join, of classes (rep, fp; both unique).
+
+    Within a shard of about ``leaf_target`` homes, pairs are joined to sets at once, so a shard gives no more links than it has rows.
     """
     ship(classes.sparkSession)
     n = classes.count()
     # a bound on a hash takes about so many; sorting would send as many from every task
     rank = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taken = classes.select("fp").filter(rank < min(0.5, 0.9 * tree_sample / max(1, n))).limit(tree_sample).collect()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / leaf_target)))))
+    depth = min(MAX_DEPTH, max(MIN_DEPTH, int(np.ceil(np.log2(max(1, n) / leaf_target)))))
     tree = VantageTree(np.array([r.fp for r in taken], np.int64).view(np.uint64), depth)
 
     def route(batches):
         for b in batches:
-            rep, fp = b.column(0), b.column(1)
-            at, leaf, home = tree.route(fp.to_numpy(zero_copy_only=False).view(np.uint64), max_bits)
-            for k in range(0, len(at), 1 << 16):
-                take = pa.array(at[k : k + (1 << 16)])
-                yield pa.record_batch([pa.array(leaf[k : k + (1 << 16)].astype(np.int32)), rep.take(take), fp.take(take), pa.array(home[k : k + (1 << 16)])], ["leaf", "rep", "fp", "home"])
-
-    def leaf_pairs(table: pa.Table) -> pa.Table:
+            for k in range(0, b.num_rows, 1 << 14):
+                rep, fp = b.column(0).slice(k, 1 << 14), b.column(1).slice(k, 1 << 14)
+                at, leaf, home = tree.route(fp.to_numpy(zero_copy_only=False).view(np.uint64), max_bits)
+                for j in range(0, len(at), 1 << 16):
+                    take = pa.array(at[j : j + (1 << 16)])
+                    yield pa.record_batch([pa.array(leaf[j : j + (1 << 16)].astype(np.int32)), rep.take(take), fp.take(take), pa.array(home[j : j + (1 << 16)])], ["leaf", "rep", "fp", "home"])
+
+    def shard(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        home = table.column("home").to_numpy(zero_copy_only=False)
-        order = np.argsort(~home, kind="stable")
-        rep, fp, n_home = rep[order], fp[order], int(home.sum())
-        label = np.arange(len(fp))
-        step = max(1, (1 << 22) // max(1, len(fp)))
-        for at in range(0, n_home, step):
-            block = fp[at : min(at + step, n_home), None]
-            x, y = np.nonzero(np.bitwise_count(block ^ fp[None, at:]) <= max_bits)
-            keep = y > x
-            _union(label, at + x[keep], at + y[keep])
-        linked = np.flatnonzero(label != np.arange(len(fp)))
+        label = shard_links(table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(zero_copy_only=False), max_bits)
+        linked = np.flatnonzero(label != np.arange(len(rep)))
         return pa.table({"a": rep[linked], "b": rep[label[linked]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     shards = classes.select("rep", "fp").mapInArrow(route, "leaf int, rep long, fp long, home boolean")
-    return shards.groupBy("leaf").applyInArrow(leaf_pairs, "a long, b long")
+    return shards.groupBy("leaf").applyInArrow(shard, "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -190,27 +225,45 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _components_of(prints: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (fp, rep, rows) of prints (doc_id, fp), and (fp, component) of those that are linked; ``rep`` is the smallest id."""
+    classes = shared_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    linked = components(near_links(classes.select(F.col("fp").alias("rep"), "fp"), max_bits))
+    return classes, shared_table(linked.select(F.col("node").alias("fp"), "component"), "linked-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs``.
 
-    A null or empty text has fingerprint zero and is linked like any other.  A null id keeps its row; it takes
-    no part in naming components, and its component is the smallest id that its fingerprint reaches, or null.
-    Repeated rows give repeated results.  Extra columns are ignored; an empty table gives an empty result.
+    A null or empty text has fingerprint zero and is linked like any other.  A null id keeps its row and links others, but
+    names no component; its component is the smallest id that its fingerprint reaches, or null.  Rows are linked by their
+    texts, so those of one id may be in several components; repeated rows give repeated results.  Extra columns are
+    ignored; an empty table gives an empty result.
     """
     prints = shared_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    classes = shared_table(classes, "classes")
-    nodes = classes.filter("rep is not null")
-    found = components(near_links(nodes, max_bits))
-    named = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "rep", "rows")
-    # alone and unlinked: the document is its own component and needs no lookup
-    named = named.filter("rows > 1 or component_id <> rep").select("fp", "component_id", "rows")
-    joined = lookup(prints, named, ["fp"], "rows", prints.count())
-    return joined.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes, linked = _components_of(prints, max_bits)
+    near = linked.join(classes, "fp")
+    names = near.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    named = lookup(near, names, ["component"], "members", linked.count()).select("fp", "component_id", "rows")
+    # a class of several rows that isn't linked; a single row that isn't linked needs no lookup
+    alone = classes.filter("rows > 1").join(linked, "fp", "left_anti").select("fp", F.col("rep").alias("component_id"), "rows")
+    joined = lookup(prints, named.unionByName(alone).withColumn("met", F.lit(True)), ["fp"], "rows", prints.count())
+    component = F.when(F.col("met"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that name their component, with all their columns; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, width, max_bits)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` with the smallest id of their component, with all their columns.
+
+    A row is known by its id and fingerprint, so of a repeated id only the texts go that are near another; where one id has several
+    of a component, the smallest fingerprint stays.  Rows with a null id and repeats of a row that stays are all kept.
+    """
+    prints = shared_table(fingerprints(docs, id_col, text_col, width).filter("doc_id is not null").distinct(), "fingerprints")
+    _, linked = _components_of(prints, max_bits)
+    member = F.struct("doc_id", "fp")
+    rows = shared_table(prints.join(linked, "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("component")), "near-rows")
+    kept = rows.groupBy("component").agg(F.min(member).alias("kept"), F.count("*").alias("members")).filter("members > 1")
+    gone = lookup(rows, kept, ["component"], "members", rows.count()).filter(F.col("kept").isNotNull() & (member != F.col("kept"))).select("doc_id", "fp")
+    name = free_name(docs.columns, "fingerprint")
+    marked = with_fingerprint(docs.withColumn(text_col, F.col(text_col).cast("string")), name, text_col, width)
+    return without_rows(marked, gone, [F.col(id_col).cast("long"), F.col(name)]).drop(name)
