@@ -2,15 +2,19 @@
 
 Keys are 64-bit hashes of the normalised text.  The directory starts with one bucket and doubles whenever an
 overfull bucket needs a bit more than the directory has, so it follows the keys, not the rows: copies of one
-text are one key.  Rows are first collapsed by (bucket, hash, normalised bytes) inside each map task, so a
-text that makes up a third of the table sends one row per task; the owner of the bucket then chains the texts
-that collide on a hash, told apart by their bytes.  The index goes to the shared folder, sorted by bucket and hash,
-and the documents look themselves up in it.
+text are one key.  Each owner task has a range of buckets, which is a range of keys, with about as many keys as any other; rows are
+dealt to the owner of their key's bucket, who compares their bytes, chains the texts that collide on a hash, and writes its
+range as a file set of its own.  Documents then find their bucket and its owner in the directory and look themselves up there.
+
+Keys with very many rows are combined before they are dealt out, so each map task sends one row of such a text.  Those are
+few by pigeonhole, whatever the input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -19,9 +23,13 @@ from credence.llm.common import fresh_path, lookup, shared_table, without_rows
 
 #: ASCII white space, deleted before texts are compared.
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: The directory has at most 2 ** MAX_DEPTH slots, whatever the input, so it may be broadcast.
+#: The directory has at most 2 ** MAX_DEPTH slots, whatever the input, so it may be broadcast.  Beyond 2 ** 26 keys
+#: buckets hold more than BUCKET_KEYS, in proportion to the keys.
 MAX_DEPTH = 16
 BUCKET_KEYS = 4096
+#: Keys with more rows than this, and than one row in HOT_KEYS, are combined first; there are at most HOT_KEYS of them.
+HOT_ROWS = 1000
+HOT_KEYS = 1_000_000
 
 _BASE = "36893488147419103232BD"  # 2 ** 65
 _TOP = "9223372036854775808BD"  # 2 ** 63
@@ -67,39 +75,80 @@ def _unpacked(packed: Column) -> Column:
     return F.when(low > 0, (F.expr(_TOP).cast("decimal(38,0)") - low).cast("long"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
+@dataclass(frozen=True)
+class Directory:
+    """The bucket of each slot, a slot being the first ``depth`` bits of a key, and the owner of each bucket."""
 
-    A null text counts as empty.  Of equal texts the row with the most code points stays, then the smallest id;
-    null ids come last, and a group of null ids only has a null keep_id.  Rows repeated with the id that stays
-    are all kept.  Extra columns are ignored; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    text = F.col(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text).alias("norm"), F.length(F.coalesce(text.cast("string"), F.lit(""))).alias("points"))
-    base = base.withColumn("h", F.xxhash64("norm"))
-    entries = shared_table(base.select("doc_id", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "exact-entries")
+    depth: int
+    slots: list[int]
+    owners: list[int]
+
+    def slot(self, h: Column) -> Column:
+        return F.shiftrightunsigned(h, 64 - self.depth).cast("int") if self.depth else F.lit(0)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the bucket of their ``h`` and its owner."""
+        schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("slot", "bucket", "owner")])
+        table = rows.sparkSession.createDataFrame([(k, b, self.owners[b]) for k, b in enumerate(self.slots)], schema)
+        return rows.withColumn("slot", self.slot(F.col("h"))).join(F.broadcast(table), "slot").drop("slot")
 
-    keys = entries.groupBy("h").agg(F.count("*").alias("n"))
+
+def _directory(spark: SparkSession, keys: DataFrame, capacity: int) -> Directory:
     prefix = F.shiftrightunsigned("h", 64 - MAX_DEPTH).cast("int")
     counts = {r.p: r.n for r in keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-    depth, slots = directory(counts, capacity)
-    slot = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
-    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
-    table = spark.createDataFrame(list(enumerate(slots)), schema)
-
-    owned = base.withColumn("slot", slot).join(F.broadcast(table), "slot")
-    chained = owned.groupBy("bucket", "h", "norm").agg(F.count("*").alias("group_size"), F.max(_packed(F.col("points"), F.col("doc_id"))).alias("best"))
-    chained = chained.select("bucket", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "group_size", _unpacked(F.col("best")).alias("keep_id"))
-    place = Window.partitionBy("bucket", "h").orderBy("text_sha256")
+    total = sum(counts.values())
+    depth, slots = directory(counts, max(capacity, total >> (MAX_DEPTH - 2)))
+    held = [0] * (slots[-1] + 1)
+    for p, n in counts.items():
+        held[slots[p >> (MAX_DEPTH - depth)]] += n
+    tasks, before, owners = int(spark.conf.get("spark.sql.shuffle.partitions")), 0, []
+    for n in held:
+        owners.append(min(tasks - 1, (before + n // 2) * tasks // max(1, total)))
+        before += n
+    return Directory(depth, slots, owners)
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, Directory, str]:
+    """The rows' keys (doc_id, h, text_sha256), the directory, and where the index is: a folder ``owner=...`` for each range of buckets."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text).alias("norm"), F.length(text).alias("points"))
+    # written once, as normalising takes longer than reading it back
+    rows = shared_table(base.withColumns({"h": F.xxhash64("norm"), "text_sha256": F.sha2(F.col("norm").cast("binary"), 256)}), "exact-rows")
+    keys = shared_table(rows.groupBy("h").agg(F.count("*").alias("n")), "exact-keys")
+    found = _directory(spark, keys, capacity)
+
+    each = rows.select("h", "norm", "text_sha256", F.lit(1).cast("long").alias("rows"), _packed(F.col("points"), F.col("doc_id")).alias("best"))
+    hot = F.broadcast(keys.filter(F.col("n") > max(hot_rows, rows.count() // HOT_KEYS)).select("h"))
+    same = ["h", "norm", "text_sha256"]
+    whole = [F.sum("rows").alias("rows"), F.max("best").alias("best")]
+    dealt = each.join(hot, "h", "left_semi").groupBy(*same).agg(*whole).unionByName(each.join(hot, "h", "left_anti"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owned = found.placed(dealt).repartitionById(tasks, "owner")
+    # partitioned by owner already, so neither bytes nor chains are shuffled again
+    told = owned.groupBy("owner", "bucket", *same).agg(*whole)
+    chained = told.select("owner", "bucket", "h", "text_sha256", F.col("rows").alias("group_size"), _unpacked(F.col("best")).alias("keep_id"))
+    place = Window.partitionBy("owner", "bucket", "h").orderBy("text_sha256")
     path = fresh_path(spark, "exact-index")
-    chained.withColumn("chain", F.row_number().over(place)).sortWithinPartitions("bucket", "h", "chain").write.parquet(path)
+    chained.withColumn("chain", F.row_number().over(place)).sortWithinPartitions("owner", "bucket", "h", "chain").write.partitionBy("owner").parquet(path)
+    return rows.select("doc_id", "h", "text_sha256"), found, path
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
 
-    index = spark.read.parquet(path).filter("group_size > 1").select("h", "text_sha256", "keep_id", "group_size", F.col("group_size").alias("rows"))
-    found = lookup(entries, index, ["h", "text_sha256"], "rows", entries.count())
+    A null text counts as empty.  Of equal texts the row with the most code points stays, then the smallest id;
+    null ids come last, and a group of null ids only has a null keep_id.  Rows repeated with the id that stays
+    are all kept.  Extra columns are ignored; an empty table gives an empty result.
+    """
+    entries, found, path = build_index(docs, id_col, text_col, capacity, hot_rows)
+    schema = "bucket int, h long, text_sha256 string, group_size long, keep_id long, chain int, owner int"
+    index = docs.sparkSession.read.schema(schema).parquet(path).filter("group_size > 1")
+    index = index.select("owner", "bucket", "h", "text_sha256", "keep_id", "group_size", F.col("group_size").alias("rows"))
+    at = lookup(found.placed(entries), index, ["owner", "bucket", "h", "text_sha256"], "rows", entries.count())
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("doc_id").eqNullSafe(keep)).alias("kept"), "text_sha256")
+    return at.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("doc_id").eqNullSafe(keep)).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
