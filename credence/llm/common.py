@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,24 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return stored(df, label)
 
 
+def release() -> None:
+    """Give memory that is held free back to the system; a worker lives on beside others for tasks that may need none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that releases memory when a task is done."""
+
+    def out(batches):
+        yield from run(batches)
+        release()
+
+    return out
+
+
 def free_name(columns: list[str], base: str) -> str:
     """``base``, made longer until no column has that name in any case."""
     taken = {c.lower() for c in columns}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import free_name, ship
+from credence.llm.common import free_name, released, ship
 
 UNDETERMINED = "und"
 #: Labelled rows that a model is fitted on, over all languages together; the one bounded sample.
@@ -191,7 +191,7 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text", names: tu
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 
     types = (T.StringType(), T.DoubleType(), T.BooleanType(), T.BooleanType())
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *map(T.StructField, names, types)]))
+    return kept.mapInArrow(released(run), T.StructType([*kept.schema.fields, *map(T.StructField, names, types)]))
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

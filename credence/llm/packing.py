@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import ship
+from credence.llm.common import released, ship
 
 #: Examples packed together; bounds a task's memory.
 FLUSH_ITEMS = 20_000
@@ -130,4 +130,4 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
             yield packed(rest)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(released(run), schema)

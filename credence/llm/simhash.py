@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import free_name, hex64, lookup, shared_table, ship, without_rows
+from credence.llm.common import free_name, hex64, lookup, released, shared_table, ship, without_rows
 
 #: At most so many fingerprints are fetched to choose vantage points and radii, and at most half of all.
 TREE_SAMPLE = 8192
@@ -67,7 +67,7 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", width:
             fps = np.array([fingerprint(shingle_hashes(t, width)) if t else 0 for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -195,7 +195,7 @@ def near_links(classes: DataFrame, max_bits: int = 2, tree_sample: int = TREE_SA
         linked = np.flatnonzero(label != np.arange(len(rep)))
         return pa.table({"a": rep[linked], "b": rep[label[linked]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    shards = classes.select("rep", "fp").mapInArrow(route, "leaf int, rep long, fp long, home boolean")
+    shards = classes.select("rep", "fp").mapInArrow(released(route), "leaf int, rep long, fp long, home boolean")
     return shards.groupBy("leaf").applyInArrow(shard, "a long, b long")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import ship
+from credence.llm.common import released, ship
 
 #: Text bytes of a batch, and windows of a hash range, on average.
 BATCH_BYTES = 4_000_000
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
             made["kept_text"] = pa.array(out["kept_text"], pa.binary()).cast(pa.string())
         return pa.table(made)
 
-    sent = dealt.mapInArrow(send, "range int, batch int, hashes binary, ids binary, runs binary")
+    sent = dealt.mapInArrow(released(send), "range int, batch int, hashes binary, ids binary, runs binary")
     answers = sent.groupBy("range").applyInArrow(answer, "batch int, range int, late binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:int,end:int>>" + (", kept_text string" if with_text else "")
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, schema)

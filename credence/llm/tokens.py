@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps (about 60 MB); more are encoded each time they come.
 KEPT_WORDS = 1_000_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: White space that may not be cut before: runs, and all but blank and line end (fixed list).
 _ODD_SPACE = ["  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "\0"]
 _PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,;:!?|]+|[*]+|[#]+|[$]+|[&]+|[%]+)?")
@@ -127,11 +127,13 @@ class Encoder:
         joined = "\0\0".join(texts[i] for i in rows).replace("\n", "\0\n").replace(" ", "\0 ")
         coded = pc.split_pattern(pa.array([joined], pa.large_string()), "\0").flatten().dictionary_encode()
         row = self._rows(coded.dictionary.to_pylist(), True)
-        pool, starts = np.array(self.pool, np.uint32), np.array(self.starts, np.int64)
+        # views, not copies; they go before the arrays are cut back
+        pool, starts = np.frombuffer(self.pool, np.uint32), np.frombuffer(self.starts, np.int64)
         word = coded.indices.to_numpy()
         first, count = starts[row][word], (starts[row + 1] - starts[row])[word]
         ends = np.cumsum(count)
-        ids = pool[np.arange(int(ends[-1])) + np.repeat(first - (ends - count), count)]
+        ids = pool[np.arange(int(ends[-1])) + np.repeat(first - (ends - count), count)] if len(pool) else np.empty(0, np.uint32)
+        del pool, starts
         cuts = self._cuts(texts, rows, ends)
         for i, a, b in zip(rows, cuts, cuts[1:], strict=False):
             out[i] = ids[a:b]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credence.llm.common import fresh_path, shared_table, ship
+from credence.llm.common import fresh_path, released, shared_table, ship
 
 MAGIC = b"CWM1"
 #: 64-bit words between two counts.
@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             store.move(part, f"{folder}/{file}")
             yield pa.record_batch([[shard], [file], [len(names)], [sum(lengths)]], ["shard", "file", "documents", "tokens"])
 
-    return shared_table(ordered.mapInArrow(run, "shard long, file string, documents long, tokens long"), "token-manifest")
+    return shared_table(ordered.mapInArrow(released(run), "shard long, file string, documents long, tokens long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
@@ -220,7 +220,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
 
     files = placed.select("file", "first")
     tasks = max(1, manifest.count())
-    return files.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(tasks).mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
