@@ -57,7 +57,9 @@ def answer(ev: Evaluator, variables: list[str], options: Options) -> Answers:
     s = ev.semantics
     weights = (s.aggregate(F.col("b")).alias("b"), s.aggregate(F.col("d")).alias("d"))
     held = [Val(F.col(f"v{i}"), v.kind) for i, v in enumerate(vals)]
-    if names:
+    if names and body.unique and set(body.env) <= set(names):
+        out = rows  # a row for each answer already
+    elif names:
         keys = [group_key(v).alias(f"k{i}") for i, v in enumerate(held)]
         terms = [F.min(f"v{i}").alias(f"v{i}") for i, v in enumerate(vals) if v.kind == "term"]
         grouped = rows.groupBy(*keys).agg(*terms, *weights)

@@ -24,6 +24,7 @@ class Relation:
 
     df: DataFrame
     kinds: tuple[str | None, ...]
+    unique: bool = False  # no two rows have the same arguments
 
 
 #: The relation of a goal, by its place in the body.
@@ -32,7 +33,10 @@ Provider = Callable[[int, Atom, bool], Relation]
 
 @dataclass
 class Body:
-    """Rows of a goal list: ``df`` has the columns that ``env`` and ``atoms`` refer to; None before any."""
+    """Rows of a goal list: ``df`` has the columns that ``env`` and ``atoms`` refer to; None before any.
+
+    ``unique`` says that no two rows have the same values of all variables.
+    """
 
     df: DataFrame | None
     env: dict[str, Val]
@@ -41,6 +45,7 @@ class Body:
     atoms: list[tuple[Atom, list[Val]]]
     seen: list[Column]
     dead: bool = False
+    unique: bool = True
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -93,6 +98,10 @@ def _join(body: Body, atom: Atom, rel: Relation, semantics: Semantics) -> None:
     own, bound, new = _match(atom, cols, body.env)
     if own:
         df = df.filter(_all(own))
+    # values of different kinds may be equal without being the same, as large ints and floats
+    known = body.env | new
+    exact = all(v.kind == (literal(a).kind if isinstance(a, Const) else known[a.name].kind) for a, v in zip(atom.args, cols, strict=True))
+    body.unique = body.unique and rel.unique and exact
     if body.df is None:
         body.df = df.filter(_all(bound)) if bound else df
     else:

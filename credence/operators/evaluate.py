@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credence.functions.semantics import EPS
-from credence.functions.values import SPARK_TYPE, Val, as_kind, as_utc, from_spark, group_key, literal, to_term
+from credence.functions.values import SPARK_TYPE, Val, as_kind, as_utc, equal, from_spark, group_key, literal, to_term
 from credence.operators.body import Body, Provider, Relation, compile_body, kinds_of, merged
 from credence.plans.analysis import Graph, applicable
 from credence.plans.demand import rewrite
 from credence.plans.model import AnyGoal, Assume, Atom, Const, Fact, Goal, Note, Options, Rule, Signature, Var
 from credence.sources.kb import Binding, KnowledgeBase
-from credence.sources.shared import stored
+from credence.sources.shared import store, stored
 
 
 class FixpointProblem(RuntimeError):
@@ -39,6 +39,7 @@ class Evaluator:
         self.graph = Graph(goals, kb.rules, kb.constraints)
         self.known: dict[Signature, Relation] = {}
         self.facts_of: dict[Signature, Signature] = {}
+        self.asks: dict[Signature, tuple[Signature, tuple[int, ...]]] = {}
         self._ask_only_what_is_needed()
         self.kinds: dict[Signature, tuple[str | None, ...]] = {}
         self._find_kinds()
@@ -54,7 +55,7 @@ class Evaluator:
         options = self.options.with_(semantics=self.semantics.with_(support_aggregation="maximum"), query_time=self.times["query_time"])
         seeded = Evaluator(self.spark, base, tuple(Goal(a) for a in found.wanted), options)
         seeded.times, seeded.assumed = self.times, self.assumed
-        self.kb, self.goals, self.facts_of = self.kb.copy(), found.goals, found.copied
+        self.kb, self.goals, self.facts_of, self.asks = self.kb.copy(), found.goals, found.copied, found.asks
         self.kb.rules += found.rules
         for a in found.wanted:
             df = stored(seeded.relation(a.signature).df.drop("b", "d"), "demand")
@@ -128,8 +129,17 @@ class Evaluator:
             df = self._bound(x).select(*cols, weight(x.b).alias("b"), weight(x.d).alias("d"))
             out.append(df.dropna(subset=[f"a{i}" for i in range(p[1])]))
             distinct = distinct and x.distinct and len(bound) == 1
+        if p in self.asks:
+            out = [self._in_demand(p, df) for df in out]
         return out, distinct and bool(out)
 
+    def _in_demand(self, p: Signature, df: DataFrame) -> DataFrame:
+        """Facts of a call pattern, as far as they are asked for."""
+        demand, places = self.asks[p]
+        asked = reduce(DataFrame.unionByName, self._fact_rows(demand)[0]).select(*[F.col(f"a{j}").alias(f"__d{j}") for j in range(len(places))])
+        same = [equal(Val(F.col(f"a{i}"), self.kinds[p][i]), Val(F.col(f"__d{j}"), self.kinds[demand][j])) for j, i in enumerate(places)]
+        return df.join(asked, reduce(lambda x, y: x & y, same), "left_semi")
+
     @staticmethod
     def _literal_kinds(facts: list[Fact], arity: int) -> list[str | None]:
         kinds: tuple[str | None, ...] = (None,) * arity
@@ -153,7 +163,7 @@ class Evaluator:
             terms = [v for v, k in zip(values, kinds, strict=True) if k == "term"]
             grouped = df.groupBy(*keys).agg(*terms, self.semantics.aggregate(F.col("b")).alias("b"), self.semantics.aggregate(F.col("d")).alias("d"))
             df = grouped.select(*[F.col(c) if k == "term" else v for c, v, k in zip(cols, values, kinds, strict=True)], "b", "d")
-        return Relation(df.filter("b > 0 or d > 0"), kinds)
+        return Relation(df.filter("b > 0 or d > 0"), kinds, unique=True)
 
     # rules
     def body(self, goals: tuple[AnyGoal, ...], provide: Provider, constrained: bool = True) -> Body:
@@ -164,14 +174,18 @@ class Evaluator:
         vals = [literal(a) if isinstance(a, Const) else body.env[a.name] for a in r.head.args]
         return [as_kind(v, k).alias(f"a{i}") for i, (v, k) in enumerate(zip(vals, self.kinds[r.head.signature], strict=True))]
 
-    def contribution(self, r: Rule, provide: Provider) -> DataFrame | None:
+    def contribution(self, r: Rule, provide: Provider) -> Relation | None:
         """What a rule adds to its head, a row for each body row that applies."""
         body = self.body(r.goals, provide)
         if body.dead:
             return None
         df = body.df.select(*self._head(r, body), self.semantics.rule_applies(body.b, body.d).alias("__applies"), *self._seen(r, body))
         df = df.filter("__applies > 0")
-        return df.select(*[c for c in df.columns if c != "__applies"], (F.col("__applies") * float(r.note.b)).alias("b"), (F.col("__applies") * float(r.note.d)).alias("d"))
+        df = df.select(*[c for c in df.columns if c != "__applies"], (F.col("__applies") * float(r.note.b)).alias("b"), (F.col("__applies") * float(r.note.d)).alias("d"))
+        # the head's values tell body rows apart if it has all variables, each as it is in the body
+        kinds = self.kinds[r.head.signature]
+        whole = set(body.env) <= set(r.head.variables()) and all(isinstance(a, Const) or body.env[a.name].kind == k for a, k in zip(r.head.args, kinds, strict=True))
+        return Relation(df, kinds, unique=body.unique and whole)
 
     def _seen(self, r: Rule, body: Body) -> list[Column]:
         return [F.array_distinct(F.concat(*body.seen)).alias("seen")] if body.seen else []
@@ -212,7 +226,7 @@ class Evaluator:
         on = reduce(lambda x, y: x & y, [F.col(f"l{i}") == F.col(f"r{i}") for i in range(len(names))], F.lit(True))
         joined = left.join(worst, on, "left")
         d = F.when(F.col("__violation") > 0, self.semantics.aggregate_two(F.col("__d"), F.col("__violation"))).otherwise(F.col("__d"))
-        return Body(joined.withColumn("__d2", d), body.env, F.col("__b"), F.col("__d2"), body.atoms, body.seen)
+        return Body(joined.withColumn("__d2", d), body.env, F.col("__b"), F.col("__d2"), body.atoms, body.seen, unique=body.unique)
 
     # strata
     def relation(self, p: Signature) -> Relation:
@@ -233,19 +247,20 @@ class Evaluator:
                 p = c[0]
                 facts, distinct = self._fact_rows(p)
                 made = [x for r in self.graph.rules[p] if (x := self.contribution(r, self._provide())) is not None]
-                self.known[p] = self._aggregated(p, facts + made, distinct)
+                distinct = distinct and not made or not facts and len(made) == 1 and made[0].unique
+                self.known[p] = self._aggregated(p, facts + [x.df for x in made], distinct)
             elif not self._recursion(c):
                 self._rounds()  # the depth limit cuts this program: count nesting from the query
                 return
 
     def _stored(self, state: dict[Signature, Relation]) -> dict[Signature, Relation]:
-        return {p: Relation(stored(x.df, "state"), x.kinds) for p, x in state.items()}
+        return {p: Relation(stored(x.df, "state"), x.kinds, x.unique) for p, x in state.items()}
 
     def _step(self, component: list[Signature], base: dict[Signature, list[DataFrame]], state: dict[Signature, Relation]) -> dict[Signature, Relation]:
         """Facts, and every rule on the last round's states."""
         out = {}
         for p in component:
-            made = [x for r in self.graph.rules[p] if (x := self.contribution(r, self._provide(state))) is not None]
+            made = [x.df for r in self.graph.rules[p] if (x := self.contribution(r, self._provide(state))) is not None]
             out[p] = self._aggregated(p, base[p] + made)
         return self._stored(out)
 
@@ -265,10 +280,15 @@ class Evaluator:
         """Evaluate a recursive component; False if the depth limit stops it first."""
         base = {p: self._fact_rows(p)[0] for p in component}
         state = self._stored({p: self._aggregated(p, base[p]) for p in component})
-        if self._monotone(component):
-            return self._delta_rounds(component, state)
+        used = 0
+        if not any(applicable(r.goals, self.kb.constraints) for p in component for r in self.graph.rules[p]):
+            s = self.semantics
+            grows = s.support_aggregation == "maximum" and s.rule_applicability == "body_truth_only"
+            done, used, state = self._delta_rounds(component, state, grows)
+            if done is not None:
+                return done
         steady, cyclic = 0, None
-        for _ in range(self.options.max_depth):
+        for _ in range(used, self.options.max_depth):
             new = self._step(component, base, state)
             atoms, values = self._changes(state, new)
             state = new
@@ -281,46 +301,78 @@ class Evaluator:
             cyclic = False if steady >= 2 else cyclic
         return False
 
-    def _monotone(self, component: list[Signature]) -> bool:
-        """Whether states only grow, so that only what has grown need be looked at again."""
-        s = self.semantics
-        if s.support_aggregation != "maximum" or s.rule_applicability != "body_truth_only":
-            return False
-        rules = [r for p in component for r in self.graph.rules[p]]
-        return not any(applicable(r.goals, self.kb.constraints) for r in rules)
-
-    def _delta_rounds(self, component: list[Signature], state: dict[Signature, Relation]) -> bool:
-        inside, delta = set(component), state
-        for _ in range(self.options.max_depth + 1):
+    def _delta_rounds(self, component: list[Signature], state: dict[Signature, Relation], grows: bool) -> tuple[bool | None, int, dict[Signature, Relation]]:
+        """Rounds that only look at what the last one added, which is appended to the state.
+
+        If weights only grow (``grows``), an atom that is found again takes the larger ones.  Otherwise an atom's weight must not change once
+        others rest on it, so the first round that finds an atom again is undone, and None is given with the rounds
+        before it and their state, from which all must be evaluated in full.
+        """
+        inside, delta, old, first = set(component), state, None, state
+        paths: dict[Signature, list[str]] = {}
+        for n in range(self.options.max_depth + (1 if grows else 0)):
             made: dict[Signature, list[DataFrame]] = {p: [] for p in component}
             for p in component:
                 for r in self.graph.rules[p]:
-                    for at in [k for k, g in enumerate(r.goals) if isinstance(g, Goal) and not g.negated and g.atom.signature in inside]:
-                        provide = lambda k, atom, negated, at=at: (delta if k == at else state).get(atom.signature) or self.relation(atom.signature)
+                    places = [k for k, g in enumerate(r.goals) if isinstance(g, Goal) and not g.negated and g.atom.signature in inside]
+                    if not places and n == 0:  # rules that start from outside
+                        if (x := self.contribution(r, self._provide())) is not None:
+                            made[p].append(x.df)
+                    for at in places if old is not None else places[:1]:  # nothing is old at first
+                        # new atoms at one place, old ones before it, any after it: no body row is made twice
+                        def provide(k, atom, negated, at=at):
+                            own = delta if k == at else old if k < at and old is not None else state
+                            return own.get(atom.signature) or self.relation(atom.signature)
+
                         if (x := self.contribution(r, provide)) is not None:
-                            made[p].append(x)
-            if _ == 0:  # rules that start from outside
-                for p in component:
-                    for r in self.graph.rules[p]:
-                        if not any(isinstance(g, Goal) and not g.negated and g.atom.signature in inside for g in r.goals):
-                            if (x := self.contribution(r, self._provide())) is not None:
-                                made[p].append(x)
-            grown = {}
+                            made[p].append(x.df)
+            new, found, again = {}, 0, 0
             for p in component:
-                n = range(p[1])
-                got = self._aggregated(p, made[p]).df
-                keys = [group_key(Val(F.col(f"a{i}"), k)) for i, k in enumerate(self.kinds[p])]
-                old = state[p].df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col("b").alias("b0"), F.col("d").alias("d0"))
-                new = got.withColumns({f"k{i}": k for i, k in enumerate(keys)}).join(old, [f"k{i}" for i in n], "left")
-                b0, d0 = F.coalesce("b0", F.lit(0.0)), F.coalesce("d0", F.lit(0.0))
-                better = new.filter((F.col("b") > b0 + EPS) | (F.col("d") > d0 + EPS))
-                grown[p] = Relation(better.select(*[f"a{i}" for i in n], F.greatest("b", b0).alias("b"), F.greatest("d", d0).alias("d")), self.kinds[p])
-            delta = self._stored(grown)
-            if all(x.df.isEmpty() for x in delta.values()):
+                path, schema = self._grown(p, made[p], state[p])
+                if path is None:
+                    new[p] = Relation(self._empty(p), self.kinds[p], unique=True)
+                    continue
+                df = self.spark.read.schema(schema).parquet(path)
+                known = ~F.col("__fresh") & F.col("__larger") if grows else ~F.col("__fresh")
+                counts = df.agg(F.count_if("__larger"), F.count_if(known)).first()
+                found, again = found + counts[0], again + counts[1]
+                new[p] = Relation(df.filter("__larger").drop("__larger", "__fresh"), self.kinds[p], unique=True)
+                paths.setdefault(p, []).append(path)
+            if again and not grows:
+                return None, n, state
+            if not found:
                 self.known |= state
-                return True
-            state = self._stored({p: self._aggregated(p, [state[p].df, delta[p].df]) for p in component})
-        return False
+                return True, n, state
+            old, delta = state, new
+            if again:  # an atom found again has its larger weights in the later row
+                state = self._stored({p: self._aggregated(p, [state[p].df, new[p].df]) for p in component})
+                first, paths = state, {}
+            else:
+                state = {p: self._appended(first[p], new[p], paths.get(p, [])) for p in component}
+        return False, self.options.max_depth, state
+
+    def _appended(self, first: Relation, new: Relation, paths: list[str]) -> Relation:
+        """A state and the deltas after it, none of which has an atom that another has; the deltas are one scan."""
+        if not paths:
+            return first
+        schema = T.StructType([*new.df.schema.fields, T.StructField("__larger", T.BooleanType())])
+        later = self.spark.read.schema(schema).parquet(*paths).filter("__larger").drop("__larger")
+        return Relation(first.df.unionByName(later), first.kinds, unique=True)
+
+    def _grown(self, p: Signature, made: list[DataFrame], known: Relation) -> tuple[str | None, T.StructType | None]:
+        """A table of the atoms made: whether each is new (``__fresh``), and whether new or larger than known (``__larger``)."""
+        if not made:
+            return None, None
+        n = range(p[1])
+        got = self._aggregated(p, made).df
+        keys = [group_key(Val(F.col(f"a{i}"), k)) for i, k in enumerate(self.kinds[p])]
+        old = known.df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col("b").alias("b0"), F.col("d").alias("d0"))
+        met = got.withColumns({f"k{i}": k for i, k in enumerate(keys)}).join(old, [f"k{i}" for i in n], "left")
+        fresh = F.col("b0").isNull()
+        larger = fresh | (F.col("b") > F.col("b0") + EPS) | (F.col("d") > F.col("d0") + EPS)
+        weights = [F.greatest(c, F.coalesce(f"{c}0", F.lit(0.0))).alias(c) for c in "bd"]
+        rows = met.select(*[f"a{i}" for i in n], *weights, larger.alias("__larger"), fresh.alias("__fresh"))
+        return store(rows, "delta"), rows.schema
 
     def _cyclic(self, component: list[Signature], state: dict[Signature, Relation]) -> bool:
         """Whether atoms of the component support themselves: peel off those that rest on nothing inside."""
@@ -357,9 +409,10 @@ class Evaluator:
             for p in component:
                 parts = [first[p]]
                 for r in self.graph.rules[p]:
-                    made = self.contribution(r, self._provide(state))
-                    if made is None:
+                    found = self.contribution(r, self._provide(state))
+                    if found is None:
                         continue
+                    made = found.df
                     made = marked(p, made if "seen" in made.columns else made.withColumn("seen", F.array().cast("array<string>")))
                     made = made.filter(~F.array_contains("seen", F.col("__key")))
                     parts.append(made.withColumn("seen", F.array_append("seen", F.col("__key"))).drop("__key"))
@@ -388,7 +441,7 @@ class Evaluator:
         state = self._stored({p: self._aggregated(p, base[p]) for p in preds})
         for _ in range(self.options.max_depth):
             provide: Callable = lambda at, atom, neg, state=state: full[atom.signature] if neg and atom.signature in full else state[atom.signature]
-            new = self._stored({p: self._aggregated(p, base[p] + [x for r in self.graph.rules[p] if (x := self.contribution(r, provide)) is not None]) for p in preds})
+            new = self._stored({p: self._aggregated(p, base[p] + [x.df for r in self.graph.rules[p] if (x := self.contribution(r, provide)) is not None]) for p in preds})
             done = self._changes(state, new) == (0, 0)
             state = new
             if done:
