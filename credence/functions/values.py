@@ -142,6 +142,44 @@ def micros(v: Val) -> Column:
     return v.col
 
 
+def at_moment(c: Column, t: T.DataType) -> Column:
+    """A date or moment as a timestamp; those without a zone are UTC, whatever the session's zone."""
+    kind = kind_of_type(t)
+    return F.timestamp_micros(micros(Val(c, kind))) if kind in ("date", "ntz") else c.cast("timestamp")
+
+
+def iso_text(v: Val) -> Column:
+    """A temporal column as program text has it: ISO 8601, moments with a zone in UTC."""
+    if v.kind == "date":
+        return F.date_format(v.col, "yyyy-MM-dd")
+    if v.kind in ("datetime", "ntz"):
+        clock = F.timestamp_add("MICROSECOND", micros(v), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+        return F.date_format(clock, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" + ("'Z'" if v.kind == "datetime" else ""))
+    us = F.abs(v.col)
+    seconds = (us % DAY_US / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.concat(F.when(v.col < 0, "-").otherwise(""), F.lit("P"), F.floor(us / DAY_US).cast("string"), F.lit("DT"), seconds.cast("string"), F.lit("S"))
+
+
+def from_text(form: Column, text: Column) -> dict[str, Column]:
+    """Of each kind, the column of arguments written as a form and a text; null where the form is another."""
+    is_form = lambda *names: F.when(form.isin(*names), text)
+    moment = is_form("datetime")
+    zoned = F.regexp_like(text, F.lit("(Z|[+-][0-9]{2}:?[0-9]{2})$"))
+    number = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("decimal(20,6)"), F.lit(0))
+    days = number("([0-9.]+)D") + 7 * number("([0-9.]+)W") + 365 * number("([0-9.]+)Y") + 30 * number("^[^T]*?([0-9.]+)M")
+    clock = 3600 * number("T.*?([0-9.]+)H") + 60 * number("T.*?([0-9.]+)M") + number("([0-9.]+)S")
+    sign = F.when(text.startswith("-"), -1).otherwise(1)
+    return {
+        "str": is_form("entity", "string", "ref"),
+        "int": is_form("int").cast("long"),
+        "float": is_form("float").cast("double"),
+        "date": F.to_date(is_form("date"), "yyyy-MM-dd"),
+        "datetime": F.when(zoned, moment).cast("timestamp"),
+        "ntz": F.when(~zoned, moment).cast("timestamp_ntz"),
+        "dur": F.when(form == "duration", (sign * (86400 * days + clock) * 1_000_000).cast("long")),
+    }
+
+
 def term(tag: Column, txt: Column | None = None, num: Column | None = None, us: Column | None = None) -> Column:
     none = lambda t: F.lit(None).cast(t)
     txt = none("string") if txt is None else txt

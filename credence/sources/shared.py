@@ -56,9 +56,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def store(df: DataFrame, label: str) -> str:
+    """Write ``df`` there; where it is."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written there and read again, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label))
