@@ -1,14 +1,15 @@
 """Repeated token windows, removed where an earlier document has them too.
 
 Every window of ``width`` words gets a Rabin-Karp hash: the words' own hashes as digits of a number in an odd base,
-modulo 2 ** 64, rolled over the document.  Documents are dealt to batches by a hash of their id.  A batch sends each of
-its distinct window hashes once, with the smallest id that has it, packed into one row for each range of hashes;
-so a passage that many documents share is one entry per batch.  The owner of a range counts them and answers the batches in
-which a window's smallest id is not the smallest of all.  A batch then knows for each of its windows whether a document with a
+modulo 2 ** 64, rolled over the document.  Documents are dealt to batches by a hash of their id and text.  A batch sends each of
+its distinct window hashes once, with the smallest id that has it, packed into one row for each range of hashes that it has;
+so a passage that many documents share is one entry per batch, and work and traffic are in proportion to the windows.  The
+owner of a range counts them and answers the batches in which a window's smallest id is not the smallest of all.  A batch then knows for each of its windows whether a document with a
 smaller id has it, merges those windows into maximal intervals and removes their words.
 
 Two windows of different batches are taken for the same if the lower 56 bits of their hashes and their ranges
-agree, which together are 56 bits and the logarithm of the number of ranges, up to 64.
+agree, which together are 56 bits and the logarithm of the number of ranges, up to 64.  Windows travel packed because a Spark row
+for each would be some 28 bytes against 8, and go twice.
 """
 
 from __future__ import annotations
@@ -81,6 +82,13 @@ def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
 
 
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts, and the end."""
+    if not len(values):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+
+
 def _short(hashes: np.ndarray) -> bytes:
     return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
 
@@ -109,11 +117,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     never remove words from each other.  Extra columns are ignored; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    data = every.filter("text <> ''")
     total = data.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches = max(1, -(-total // batch_bytes))
     n_ranges = max(1, total // 6 // range_windows)
-    batch = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.substring("text", 1, 200))), F.lit(n_batches)).cast("int")
+    # by the text too, so that null and repeated ids are spread; rows of one id have no need to meet
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")
     dealt = data.withColumn("batch", batch).repartition(n_batches, "batch")
 
     def smallest(texts: list[bytes], ids: np.ndarray):
@@ -135,12 +145,11 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                 _, hashes, _, _, id_of = smallest(texts, ids)
                 h, d = _least(hashes, id_of)
                 # sorted by hash, so each range of hashes is a slice; by id within it, which packs ids best
-                cuts = np.searchsorted(_ranges(h, n_ranges), np.arange(n_ranges + 1, dtype=np.uint64))
+                of = _ranges(h, n_ranges)
+                cuts = _edges(of)
                 rows = []
-                for k in range(n_ranges):
-                    x, y = h[cuts[k] : cuts[k + 1]], d[cuts[k] : cuts[k + 1]]
-                    if not len(x):
-                        continue
+                for a, z in zip(cuts, cuts[1:], strict=False):  # ranges that have windows
+                    k, x, y = int(of[a]), h[a:z], d[a:z]
                     order = np.argsort(y, kind="stable")
                     x, y = x[order], y[order]
                     first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
@@ -177,8 +186,11 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         home = np.array(numbers)[source]
         late = (d > np.repeat(d[first], counts)) & (home != np.repeat(home[first], counts))
         h, source = h[late], source[late]
-        out = {k: h[source == k] for k in np.unique(source).tolist()}
-        return pa.table({"batch": pa.array([numbers[k] for k in out], pa.int32()), "range": pa.array([number] * len(out), pa.int32()), "late": pa.array([_short(x) for x in out.values()], pa.binary())})
+        order = np.argsort(source, kind="stable")
+        h, source = h[order], source[order]
+        cuts = _edges(source)
+        to, late = [numbers[k] for k in source[cuts[:-1]].tolist()], [_short(h[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"batch": pa.array(to, pa.int32()), "range": pa.array([number] * len(to), pa.int32()), "late": pa.array(late, pa.binary())})
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = arrays(left)
@@ -230,4 +242,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     sent = dealt.mapInArrow(released(send), "range int, batch int, hashes binary, ids binary, runs binary")
     answers = sent.groupBy("range").applyInArrow(answer, "batch int, range int, late binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:int,end:int>>" + (", kept_text string" if with_text else "")
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, schema)
+    done = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, schema)
+    none = every.filter("text is null or text = ''")  # of which a third of all rows may be, so they aren't dealt
+    zero, blank = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    empty = [zero.alias("n_words"), zero.alias("n_removed"), blank.alias("kept_sha256"), F.array().cast("array<struct<start:int,end:int>>").alias("intervals")]
+    return done.unionByName(none.select("doc_id", *empty, *([F.lit("").alias("kept_text")] if with_text else [])))
