@@ -66,6 +66,92 @@ def dot_product_pack(demand: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     return bins
 
 
+def _packed_bins(demand: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items in the order of their bins, their bins, and the tokens before each in its bin."""
+    bins = dot_product_pack(demand, limits.vector())
+    order = np.argsort(bins, kind="stable")
+    length = demand[order, 0]
+    run_end = np.cumsum(length)
+    at = bins[order]
+    first = np.concatenate([[True], at[1:] != at[:-1]])
+    base = np.maximum.accumulate(np.where(first, run_end - length, 0))
+    return order, at, run_end - length - base
+
+
+def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits, end_id: int = 0, loss_role: str = "assistant", id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", flush_items: int = FLUSH_ITEMS) -> DataFrame:
+    """One row per piece of a conversation: conv_id, start, length, loss_tokens, conv_tokens, sequence_id, offset.
+
+    A conversation's ids are those of its turns in order, each ended by ``end_id``; only ids of turns of ``loss_role`` bear loss.  A
+    piece ends where a limit on tokens or loss is reached or the conversation ends.  Null texts are the end id alone; turns of a null
+    id make one conversation, and repeated turns all stay.  Extra columns are ignored; an empty table gives no rows.
+    Sequences hold at most ``limits`` of tokens, pieces and loss-bearing tokens at once.
+    """
+    ship(turns.sparkSession)
+    if limits.segments < 1 or limits.tokens < 1 or limits.loss_tokens < 1:
+        raise ValueError("limits must be positive")
+    schema = "conv_id long, start long, length long, loss_tokens long, conv_tokens long, sequence_id long, offset long"
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        from credence.llm.tokens import encoder
+
+        enc, next_id, rest = encoder(tokenizer_path), TaskContext.get().partitionId() << 40, []
+        conv, at, begin, loss = None, 0, 0, 0  # of the conversation that is being read
+        pieces: list[tuple] = []  # of it, (start, length, loss)
+
+        def close():
+            nonlocal begin, loss
+            if at > begin:
+                pieces.append((begin, at - begin, loss))
+            rest.extend((conv, a, n, x, at) for a, n, x in pieces)
+            pieces.clear()
+
+        def packed():
+            nonlocal next_id
+            demand = np.array([(r[2], 1, r[3]) for r in rest], np.int64).reshape(-1, 3)
+            order, bins, offset = _packed_bins(demand, limits)
+            cols = [pa.array(c, pa.int64()) for c in zip(*(rest[i] for i in order.tolist()), strict=True)]
+            out = pa.record_batch([*cols, pa.array(bins + next_id), pa.array(offset)], fields)
+            next_id += int(bins.max()) + 1
+            rest.clear()
+            return out
+
+        seen = False
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                ids = enc.encode([t or "" for t in part.column(2).to_pylist()])
+                for name, role, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ids, strict=True):
+                    if not seen or name != conv:
+                        if seen:
+                            close()
+                        conv, at, begin, loss, seen = name, 0, 0, 0, True
+                    left, bears = len(own) + 1, role == loss_role
+                    while left:
+                        room = limits.tokens - (at - begin)
+                        if bears:
+                            room = min(room, limits.loss_tokens - loss)
+                        if room == 0:
+                            pieces.append((begin, at - begin, loss))
+                            begin, loss = at, 0
+                            continue
+                        take = min(left, room)
+                        at, left, loss = at + take, left - take, loss + take * bears
+                if len(rest) >= flush_items:
+                    yield packed()
+        if seen:
+            close()
+            if rest:
+                yield packed()
+
+    picked = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), F.col(turn_col).alias("turn"))
+    # a conversation's turns come together and in order
+    dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+    return dealt.mapInArrow(released(run), schema)
+
+
 def pack_tokens(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", flush_items: int = FLUSH_ITEMS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
@@ -93,17 +179,10 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
         def packed(rows: list[tuple]):
             """Rests of documents, packed; (doc_id, start, length, crc, doc_tokens, loss)."""
             demand = np.array([(r[2], 1, r[5]) for r in rows], np.int64).reshape(-1, 3)
-            bins = dot_product_pack(demand, limits.vector())
-            order = np.argsort(bins, kind="stable")
-            length = demand[order, 0]
-            run_end = np.cumsum(length)
-            at = bins[order]
-            first = np.concatenate([[True], at[1:] != at[:-1]])
-            base = np.maximum.accumulate(np.where(first, run_end - length, 0))
-            offset = run_end - length - base
+            order, at, offset = _packed_bins(demand, limits)
             cols = list(zip(*(rows[i] for i in order.tolist()), strict=True))
             sequence = at + state["next"]
-            state["next"] += int(bins.max()) + 1
+            state["next"] += int(at.max()) + 1
             return pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(cols[k], pa.int64()) for k in range(1, 5)), pa.array(sequence), pa.array(offset), pa.array(cols[5], pa.int64())], fields)
 
         for b in batches:
