@@ -25,6 +25,8 @@ from credence.llm.common import fresh_path, released, shared_table, ship
 MAGIC = b"CWM1"
 #: 64-bit words between two counts.
 BLOCK = 8
+#: Files whose tokens are summed up together.
+FILES_A_RUN = 4096
 #: Mean size of the texts of one shard.
 SHARD_BYTES = 16_000_000
 
@@ -150,26 +152,38 @@ class WaveletMatrix:
         return values
 
 
+#: Schemes that Hadoop and Arrow call differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
+def _uri(path: str) -> str:
+    """A path as Spark writes it, as Arrow does."""
+    scheme, _, rest = path.partition(":/")
+    if not rest or "/" in scheme:
+        return "file://" + path
+    return f"file:///{rest.lstrip('/')}" if scheme == "file" else f"{_SCHEMES.get(scheme, scheme)}://{rest.lstrip('/')}"
+
+
 def _open(path: str):
+    """The file system of a path and the path in it; any store that Arrow knows by its URI."""
     from pyarrow import fs
 
-    if "://" not in path and path.startswith("file:/"):
-        path = "file:///" + path[6:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(_uri(path)) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the files of ``docs`` under ``path`` in ascending id order; returns their manifest, already made.
 
-    (shard, file, documents, tokens), one row per file.  A null text has the end id only, null ids come first and
-    repeated ids stay.  Each attempt at a task writes a file of its own, named once it is complete, and the manifest
+    (shard, file, documents, tokens), one row per file.  A null text has the end id only, null ids come first, and rows
+    of a null or repeated id stay, ordered by a hash of their texts, so that those of one id may fill several files.  Each attempt at a task writes a file of its own, named once it is complete, and the manifest
     has the files of the attempts that counted, so tasks may be lost and run again.  An empty table gives no files.
     """
     ship(docs.sparkSession)
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = data.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    ordered = data.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    place = ["doc_id", F.xxhash64("text")]
+    ordered = data.repartitionByRange(shards, *place).sortWithinPartitions(*place, "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -203,8 +217,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files of ``manifest``."""
     ship(manifest.sparkSession)
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    placed = manifest.withColumn("first", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    # tokens before each file: those of whole runs of files, of which there is a row for FILES_A_RUN, and those within its run
+    runs = manifest.withColumn("run", F.floor(F.col("shard") / FILES_A_RUN))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = runs.groupBy("run").agg(F.sum("tokens").alias("tokens"))
+    starts = totals.select("run", F.coalesce(F.sum("tokens").over(before(Window.orderBy("run"))), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("tokens").over(before(Window.partitionBy("run").orderBy("shard"))), F.lit(0))
+    placed = runs.withColumn("within", within).join(starts, "run").withColumn("first", F.col("base") + F.col("within"))
 
     def run(batches):
         store, folder = _open(path)
