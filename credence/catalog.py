@@ -105,6 +105,8 @@ CASES: dict[str, Case] = {
     "naf": Case("?- customer(C, N, S), not order(_, C, _)", 'SELECT c_custkey AS "C", c_nationkey::BIGINT AS "N", c_mktsegment AS "S", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)', uses="customer order"),
     "naf_exists": Case("?- region(R, X), not nation(_, R, _)", 'SELECT r_regionkey::BIGINT AS "R", r_name AS "X", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)', uses="region nation"),
     "naf_disbelief_only": Case("?- doc(X, L, _), not good_doc(X)", f'SELECT doc_id AS "X", lang AS "L", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM (SELECT DISTINCT doc_id, lang FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM {_LABELS} WHERE b > 0)', uses="doc good_doc"),
+    "naf_filtered": Case("?- customer(C, N, S), not rich(C)", 'SELECT c_custkey AS "C", c_nationkey::BIGINT AS "N", c_mktsegment AS "S", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM customer WHERE NOT c_acctbal > 4000', "rich(C) :- balance(C, X), gt(X, 4000).", "customer balance"),
+    "naf_unbound": Case("?- nation(N, R, X), not spends(_, N)", 'SELECT n_nationkey::BIGINT AS "N", n_regionkey::BIGINT AS "R", n_name AS "X", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 499000)', "spends(C, N) :- order(_, C, P), gt(P, 499000), customer(C, N, _).", "nation order customer"),
     # aggregation of support
     "support_noisy_or": Case("?- pair(N, Q)", _sql('"N", "Q"', f'SELECT l_linenumber::BIGINT AS "N", l_quantity AS "Q", b, d FROM {_pairs(_or("{}"), _or("{}"))} WHERE b > 0 OR d > 0'), uses="pair"),
     "support_max": Case("?- pair(N, Q) @{support_aggregation:maximum}", _sql('"N", "Q"', f'SELECT l_linenumber::BIGINT AS "N", l_quantity AS "Q", b, d FROM {_pairs("max({})", "max({})")} WHERE b > 0 OR d > 0'), uses="pair"),
@@ -123,6 +125,17 @@ CASES: dict[str, Case] = {
     "div_guard": Case("?- part(P, S, _), sub(S, 10, X), div(100, X, Y)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", (p_size - 10)::DOUBLE AS "X", 100 / (p_size - 10)::DOUBLE AS "Y", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part WHERE p_size <> 10', uses="part"),
     "eq_bind": Case("?- part(P, S, _), eq(X, S), gt(X, 40)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", p_size::BIGINT AS "X", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part WHERE p_size > 40', uses="part"),
     "type_checks": Case("?- part(P, S, X), int(S), float(X), brand(P, T), string(T), entity(T)", 'SELECT p_partkey AS "P", p_size::BIGINT AS "S", p_retailprice AS "X", p_brand AS "T", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM part', uses="part brand"),
+    "type_rejects": Case(
+        "?- kind(O, K)",
+        """SELECT o_orderkey AS "O", unnest(['moment', 'length', 'real', 'text', 'ref']) AS "K", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM orders WHERE o_orderkey < 2000
+        UNION ALL SELECT o_orderkey, unnest(['whole', 'day']), 1.0, 0.0, 'true' FROM orders WHERE o_orderkey < 2000 AND o_custkey % 2 = 0""",
+        """few(O) :- order(O, _, _), lt(O, 2000). even(C) :- customer(C, _, _), mul(2, H, C), int(H).
+        v(O, T) :- few(O), orderdate(O, T). v(O, D) :- few(O), orderdate(O, T), sub(T, dt"1990-01-01T00:00:00", D). v(O, P) :- few(O), order(O, _, P). v(O, S) :- few(O), status(O, S).
+        v(O, C) :- few(O), order(O, C, _), even(C). v(O, d"2020-02-29") :- few(O), order(O, C, _), even(C).
+        kind(O, moment) :- v(O, X), datetime(X). kind(O, length) :- v(O, X), duration(X). kind(O, real) :- v(O, X), float(X). kind(O, text) :- v(O, X), string(X).
+        kind(O, ref) :- v(O, X), predicate_ref(X). kind(O, whole) :- v(O, X), int(X). kind(O, day) :- v(O, X), date(X).""",
+        "order orderdate status customer",
+    ),
     "temporal_add": Case('?- orderdate(O, T), add(T, dur"P30D", U)', 'SELECT o_orderkey AS "O", o_orderdate AS "T", o_orderdate + INTERVAL 30 DAY AS "U", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM orders', uses="orderdate"),
     "temporal_cmp": Case('?- orderdate(O, T), lt(T, dt"1996-01-01T00:00:00")', 'SELECT o_orderkey AS "O", o_orderdate AS "T", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, \'true\' AS status FROM orders WHERE o_orderdate < TIMESTAMP \'1996-01-01\'', uses="orderdate"),
     "temporal_diff": Case('?- slow(O)', _sql('"O"', f"SELECT l_orderkey AS \"O\", {_or('b * (1 - d)')} AS b, 0.0 AS d FROM {_SHIPS} JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate - o_orderdate > INTERVAL 100 DAY GROUP BY 1"), 'slow(O) :- shipped(O, T), orderdate(O, U), sub(T, U, V), gt(V, dur"P100D").', "shipped orderdate"),
@@ -142,7 +155,29 @@ CASES: dict[str, Case] = {
     "reach_depth_capped": Case("?- path(X, Y) @{max_depth:3}", _CLOSURE_SQL + " WHERE n <= 3", _CLOSURE, "boss"),
     "mutual_recursion": Case("?- even(X) @{support_aggregation:maximum, rule_applicability:body_truth_only}", "WITH RECURSIVE p AS (SELECT 1::BIGINT AS x, 0 AS n UNION ALL SELECT c_custkey, n + 1 FROM customer JOIN p ON floor(c_custkey / 2)::BIGINT = p.x WHERE c_custkey > 1) SELECT x AS \"X\", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM p WHERE n % 2 = 0", "even(1). even(X) :- up(X, Y), odd(Y). odd(X) :- up(X, Y), even(Y). up(X, Y) :- customer(X, _, _), mul(2, Z, X), int(Z), eq(Y, Z). up(X, Y) :- customer(X, _, _), sub(X, 1, W), mul(2, Y, W), int(Y), gt(Y, 0).", "customer"),
     "cycle_no_reinforce": Case("?- linked(R, S)", _sql('"R", "S"', f"SELECT r_regionkey::BIGINT AS \"R\", ((r_regionkey + 1) % 5)::BIGINT AS \"S\", 0.2 AS b, 0.0 AS d FROM region"), "linked(0, 1) @{b:0.2}. linked(1, 2) @{b:0.2}. linked(2, 3) @{b:0.2}. linked(3, 4) @{b:0.2}. linked(4, 0) @{b:0.2}. linked(X, Y) :- linked(X, Y), region(X, _).", "region"),
+    "reach_from": Case("?- path(777, Y)", f"{_CLOSURE_SQL} WHERE x = 777".replace('x AS "X", ', ""), _CLOSURE, "boss"),
+    "reach_to": Case("?- path(X, 5)", f"{_CLOSURE_SQL} WHERE y = 5".replace(', y AS "Y"', ""), _CLOSURE, "boss"),
+    # a pair has several paths, some longer than others, so weights found in one round change in a later one
+    "reach_two_ways": Case(
+        "?- path(X, Y)",
+        """WITH l AS (
+  SELECT c_custkey + 1000.0 AS x, c_nationkey + 100.0 AS y, 0.9 AS b FROM customer
+  UNION ALL SELECT c_custkey + 1000.0, s.k, 0.8 FROM customer JOIN (VALUES ('BUILDING', 201.0), ('MACHINERY', 202.0)) s(m, k) ON c_mktsegment = s.m
+  UNION ALL SELECT n_nationkey + 100.0, n_regionkey, 0.7 FROM nation UNION ALL SELECT r_regionkey, 300.0, 0.6 FROM region
+  UNION ALL VALUES (201.0, 2.0, 0.5), (201.0, 300.0, 0.4), (202.0, 3.0, 0.3)
+), p1 AS (SELECT x, y, b FROM l WHERE x < 100
+), p2 AS (SELECT x, y, 1 - product(1 - b) AS b FROM (
+  SELECT x, y, b FROM l WHERE x BETWEEN 100 AND 999 UNION ALL SELECT l.x, p1.y, l.b * p1.b * 0.9 FROM l JOIN p1 ON l.y = p1.x WHERE l.x BETWEEN 100 AND 999) GROUP BY x, y
+), p3 AS (SELECT x, y, 1 - product(1 - b) AS b FROM (
+  SELECT x, y, b FROM l WHERE x >= 1000 UNION ALL SELECT l.x, p2.y, l.b * p2.b * 0.9 FROM l JOIN p2 ON l.y = p2.x WHERE l.x >= 1000) GROUP BY x, y
+) SELECT x::DOUBLE AS "X", y::DOUBLE AS "Y", round(b, 6)::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3)""",
+        """link(X, Y) :- customer(C, N, _), add(C, 1000, X), add(N, 100, Y) @{b:0.9}. link(X, Y) :- customer(C, _, S), segment(S, Y), add(C, 1000, X) @{b:0.8}.
+        link(X, R) :- nation(N, R, _), add(N, 100, X) @{b:0.7}. link(R, 300) :- region(R, _) @{b:0.6}. link(201, 2) @{b:0.5}. link(201, 300) @{b:0.4}. link(202, 3) @{b:0.3}.
+        segment("BUILDING", 201). segment("MACHINERY", 202). path(X, Y) :- link(X, Y). path(X, Y) :- link(X, Z), path(Z, Y) @{b:0.9}.""",
+        "customer nation region",
+    ),
     # constraints
+    "constraint_truth_only": Case("?- good_doc(X), doc(X, L, _) @{constraint_applicability:body_truth_only}", _sql('"X", "L"', f"SELECT l.doc_id AS \"X\", lang AS \"L\", b, CASE WHEN lang = 'en' AND b > 0 THEN 1 - (1 - d) * (1 - b * 0.7) ELSE d END AS d FROM {_LABELS} l JOIN documents USING (doc_id)"), '!:- good_doc(X), doc(X, "en", _) @{b:0.7}.', "good_doc doc"),
     "constraint_query": Case("?- good_doc(X), doc(X, L, _)", _sql('"X", "L"', f"SELECT l.doc_id AS \"X\", lang AS \"L\", b, CASE WHEN lang = 'en' AND b > 0 THEN 1 - (1 - d) * (1 - b * (1 - d) * 0.7) ELSE d END AS d FROM {_LABELS} l JOIN documents USING (doc_id)"), '!:- good_doc(X), doc(X, "en", _) @{b:0.7}.', "good_doc doc"),
     "constraint_downstream": Case("?- keep(X)", _sql('"X"', f"SELECT l.doc_id AS \"X\", b * (1 - CASE WHEN lang = 'en' THEN 1 - (1 - d) * (1 - b * (1 - d) * 0.7) ELSE d END) AS b, 0.0 AS d FROM {_LABELS} l JOIN documents USING (doc_id) WHERE b > 0 AND d < 1"), '!:- good_doc(X), doc(X, "en", _) @{b:0.7}. keep(X) :- good_doc(X), doc(X, _, _).', "good_doc doc"),
     "constraint_footprint_miss": Case("?- good_doc(X)", _sql('"X"', f'SELECT doc_id AS "X", b, d FROM {_LABELS}'), '!:- good_doc(X), doc(X, "en", _) @{b:0.7}.', "good_doc doc"),
@@ -268,6 +303,110 @@ def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).evaluate(KnowledgeBase.from_json(kb.to_json()), "?- q(X)").df
 
 
+def _mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of values of several types, in the order of their types and then of the values, of those with support."""
+    program = """mixed(O, P) :- order(O, _, P), gt(P, 490000) @{b:0.5}. mixed(O, T) :- orderdate(O, T), lt(T, dt"1995-02-01T00:00:00") @{b:0.25, d:0.5}.
+    mixed(O, S) :- status(O, S), order(O, _, P), lt(P, 2000). mixed(O, C) :- order(O, C, P), lt(P, 5000) @{b:0, d:0.5}. mixed(O, dur"P2D") :- order(O, _, P), lt(P, 3000) @{b:0.125}."""
+    found = Engine(spark).evaluate(knowledge(spark, sf_dir, program, "order orderdate status"), f'?- mixed(O, V) @{{focus:support, order_by:"V, O", offset:7, limit:{_MIXED_LIMIT}, {FOREVER}}}').df
+    return found.select("O", "b", "d", "status")
+
+
+_MIXED_LIMIT = 400
+_MIXED_SQL = f"""WITH m AS (
+  SELECT o_orderkey AS o, 1 AS kind, NULL::DOUBLE AS num, o_orderdate AS moment, NULL AS txt, 0.25 AS b, 0.5 AS d FROM orders WHERE o_orderdate < TIMESTAMP '1995-02-01'
+  UNION ALL SELECT o_orderkey, 2, o_totalprice, NULL, NULL, 0.5, 0.0 FROM orders WHERE o_totalprice > 490000
+  UNION ALL SELECT o_orderkey, 4, NULL, NULL, o_orderstatus, 1.0, 0.0 FROM orders WHERE o_totalprice < 2000
+  UNION ALL SELECT o_orderkey, 5, NULL, NULL, NULL, 0.125, 0.0 FROM orders WHERE o_totalprice < 3000)
+SELECT o AS "O", b::DOUBLE AS b, d::DOUBLE AS d, CASE WHEN d > 0 THEN 'both' ELSE 'true' END AS status FROM m ORDER BY kind, txt, num, moment, o LIMIT {_MIXED_LIMIT} OFFSET 7"""
+
+
+def _typed_log(spark: SparkSession, sf_dir: str):
+    from credence.sources.log import EventLog
+    from credence.sources.shared import fresh_path
+    from credence.streaming.ingest import as_assertions
+
+    log = EventLog(spark, fresh_path(spark, "typed-log"))
+    log.append(as_assertions(_table(spark, sf_dir, "orders"), "main", "placed", ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus"], et="o_orderdate"))
+    return log
+
+
+def _log_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and moments of the log compare as what they were."""
+    kb = _typed_log(spark, sf_dir).bind(KnowledgeBase(), "main", ("placed", 4), typed=True)
+    return Engine(spark).evaluate(kb, f'?- placed(O, P, T, "F"), gt(P, 300000), lt(T, dt"1997-06-01T00:00:00") @{{{FOREVER}}}').df
+
+
+def _log_other_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged and read where the session's zone isn't UTC: what was known at a time, by columns and by payloads."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "America/New_York")
+    log = _typed_log(other, sf_dir)
+    at = '@{known_at:"1998-01-01T00:00:00Z"}'
+    column = Engine(other).evaluate(log.bind(KnowledgeBase(), "main", ("placed", 4), typed=True), f'?- placed(O, P, T, _), gt(T, dt"1997-06-01T00:00:00") {at}').df.select("O")
+    small = _log_of(other, log.facts("main").filter("cast(get_json_object(payload, '$.atom.args[0].value') as long) < 300"))
+    payload = Engine(other).evaluate(small.replay("main"), f"?- placed(O, P, T, _) {at}").df.select("O")
+    path = _kept(column.withColumn("by", F.lit("column")).unionByName(payload.withColumn("by", F.lit("payload"))))
+    return spark.read.schema("O long, by string").parquet(path)
+
+
+def _kept(df: DataFrame) -> str:
+    from credence.sources.shared import store
+
+    return store(df, "kept")
+
+
+def _log_of(spark: SparkSession, events: DataFrame):
+    """A log of some events of another."""
+    from credence.sources.log import EventLog
+    from credence.sources.shared import fresh_path
+
+    log = EventLog(spark, fresh_path(spark, "log-part"))
+    log.append(events.drop("event_id"))
+    return log
+
+
+def _attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch with rules in the log and facts that stay there."""
+    log = _typed_log(spark, sf_dir)
+    log.record(KnowledgeBase.parse("dear(O, S) :- placed(O, P, _, S), gt(P, 400000) @{b:0.75}."))
+    return Engine(spark).evaluate(log.attach("main"), f"?- dear(O, S) @{{{FOREVER}}}").df
+
+
+def _contributions(spark: SparkSession, sf_dir: str, version: int | None = None) -> DataFrame:
+    """Each line of an order supports its customer's risk; the tax lines replace them, and those of every fifth part are taken back."""
+    from credence.sources.contributions import Contributions
+    from credence.sources.shared import fresh_path
+
+    store = Contributions(spark, fresh_path(spark, "contributions"))
+    lines = _table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("x"), F.max("l_tax").alias("y"), F.max("l_partkey").alias("p"))
+    name = F.concat_ws("/", "l_orderkey", "l_linenumber")
+    store.upsert(lines, "risk", ["l_suppkey"], name, b="x")
+    store.upsert(lines.filter("l_linenumber % 2 = 0"), "risk", ["l_suppkey"], name, b="y", d="x")
+    store.retract(lines.filter("p % 5 = 0"), "risk", ["l_suppkey"], name)
+    found = Engine(spark).evaluate(store.bind(KnowledgeBase(), ("risk", 1), version), f"?- risk(S) @{{{FOREVER}}}").df
+    return found.select(F.col("S.num").cast("long").alias("S"), F.round("b", 6).alias("b"), F.round("d", 6).alias("d"), "status")
+
+
+def _contributions_sql(version: int) -> str:
+    lines = "SELECT l_suppkey AS s, l_linenumber AS n, max(l_discount) AS x, max(l_tax) AS y, max(l_partkey) AS p FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_suppkey, l_orderkey, l_linenumber"
+    b, d = ("CASE WHEN n % 2 = 0 THEN y ELSE x END", "CASE WHEN n % 2 = 0 THEN x ELSE 0 END") if version > 1 else ("x", "0")
+    kept = "WHERE p % 5 <> 0" if version > 2 else ""
+    return _sql('"S"', f'SELECT s AS "S", {_or("b")} AS b, {_or("d")} AS d FROM (SELECT s, {b} AS b, {d} AS d FROM ({lines}) {kept}) GROUP BY s HAVING max(b) > 0 OR max(d) > 0')
+
+
+def _per_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One predicate takes the largest support, the others the query's noisy-or."""
+    kb = knowledge(spark, sf_dir, "best(P) :- item(_, P, _) @{b:0.5}. any(P) :- item(_, P, _) @{b:0.5}. both(P) :- best(P), any(P).", "item").configure("best", 1, "maximum")
+    df = Engine(spark).evaluate(kb, f"?- both(P), best(P) @{{{FOREVER}}}").df
+    return df.withColumn("b", F.round("b", 6)).withColumn("d", F.round("d", 6))
+
+
+def _explain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _explain(spark, sf_dir)
+    total = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 4).alias(c)
+    return events.groupBy("event", "pred").agg(F.count("*").alias("n"), F.countDistinct("args").alias("atoms"), total("body_b"), total("applies"), total("b"), total("d"))
+
+
 def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = CASES["risky_customers"]
     return Engine(spark).evaluate(knowledge(spark, sf_dir, case.program, case.uses), f"{case.query} @{{explain:true, {FOREVER}}}").events
@@ -287,6 +426,20 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "materialization": (_materialization, "SELECT *, 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status, true AS stale FROM (VALUES ('a', 'b'), ('b', 'c'), ('a', 'c')) t(\"X\", \"Y\")"),
     "json_round_trip": (_json_round_trip, "SELECT *, 0.5::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM (VALUES ('a'), ('c')) t(\"X\")"),
     "explain_events": (_explain, None),
+    "explain_summary": (
+        _explain_summary,
+        """WITH r AS (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)
+SELECT 'fact_support' AS event, 'order/3' AS pred, count(*) AS n, count(*) AS atoms, 0.0::DOUBLE AS body_b, 0.0::DOUBLE AS applies, count(*)::DOUBLE AS b, 0.0::DOUBLE AS d FROM orders
+UNION ALL SELECT 'rule_applicability', 'risky/1', count(*), count(DISTINCT o_custkey), count(*), count(*), 0, 0 FROM r
+UNION ALL SELECT 'rule_support', 'risky/1', count(*), count(DISTINCT o_custkey), count(*), count(*), round(count(*) * 0.9, 4), round(count(*) * 0.05, 4) FROM r""",
+    ),
+    "order_mixed": (_mixed_order, _MIXED_SQL),
+    "log_typed": (_log_typed, """SELECT o_orderkey AS "O", o_totalprice AS "P", o_orderdate AS "T", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000 AND o_orderdate < TIMESTAMP '1997-06-01'"""),
+    "log_other_zone": (_log_other_zone, """SELECT o_orderkey AS "O", 'column' AS "by" FROM orders WHERE o_orderdate > TIMESTAMP '1997-06-01' AND o_orderdate <= TIMESTAMP '1998-01-01' UNION ALL SELECT o_orderkey, 'payload' FROM orders WHERE o_orderkey < 300 AND o_orderdate <= TIMESTAMP '1998-01-01'"""),
+    "log_attach": (_attach, """SELECT o_orderkey AS "O", o_orderstatus AS "S", 0.75::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM orders WHERE o_totalprice > 400000"""),
+    "contribution_upsert": (lambda spark, sf_dir: _contributions(spark, sf_dir, 2), _contributions_sql(2)),
+    "contribution_retract": (_contributions, _contributions_sql(3)),
+    "per_predicate_aggregation": (_per_predicate, _sql('"P"', f'SELECT p AS "P", x * (x * y) AS b, 0.0 AS d FROM (SELECT l_partkey AS p, max(b * (1 - d) * 0.5) AS x, {_or("b * (1 - d) * 0.5")} AS y FROM {_ITEMS} GROUP BY 1)')),
 }
 
 

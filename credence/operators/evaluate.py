@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.functions.semantics import EPS
+from credence.functions.semantics import EPS, Semantics
 from credence.functions.values import SPARK_TYPE, Val, as_kind, as_utc, equal, from_spark, group_key, literal, to_term
 from credence.operators.body import Body, Provider, Relation, compile_body, kinds_of, merged
 from credence.plans.analysis import Graph, applicable
@@ -150,6 +150,11 @@ class Evaluator:
     def _empty(self, p: Signature) -> DataFrame:
         return self.spark.createDataFrame([], T.StructType([T.StructField(f"a{i}", SPARK_TYPE[k]) for i, k in enumerate(self.kinds[p])] + [T.StructField(c, T.DoubleType()) for c in "bd"]))
 
+    def _semantics(self, p: Signature) -> Semantics:
+        """The query's semantics, but for what the knowledge base sets for the predicate."""
+        own = self.kb.aggregations.get(self.facts_of.get(p, p))
+        return self.semantics.with_(support_aggregation=own) if own else self.semantics
+
     def _aggregated(self, p: Signature, parts: list[DataFrame], distinct: bool = False) -> Relation:
         """One row for each atom with any evidence."""
         kinds = self.kinds[p]
@@ -161,7 +166,8 @@ class Evaluator:
             keys = [group_key(Val(F.col(c), k)).alias(f"k{i}") for i, (c, k) in enumerate(zip(cols, kinds, strict=True))]
             values = [F.min(c).alias(c) if k == "term" else F.col(f"k{i}").alias(c) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))]
             terms = [v for v, k in zip(values, kinds, strict=True) if k == "term"]
-            grouped = df.groupBy(*keys).agg(*terms, self.semantics.aggregate(F.col("b")).alias("b"), self.semantics.aggregate(F.col("d")).alias("d"))
+            own = self._semantics(p)
+            grouped = df.groupBy(*keys).agg(*terms, own.aggregate(F.col("b")).alias("b"), own.aggregate(F.col("d")).alias("d"))
             df = grouped.select(*[F.col(c) if k == "term" else v for c, v, k in zip(cols, values, kinds, strict=True)], "b", "d")
         return Relation(df.filter("b > 0 or d > 0"), kinds, unique=True)
 
@@ -282,8 +288,7 @@ class Evaluator:
         state = self._stored({p: self._aggregated(p, base[p]) for p in component})
         used = 0
         if not any(applicable(r.goals, self.kb.constraints) for p in component for r in self.graph.rules[p]):
-            s = self.semantics
-            grows = s.support_aggregation == "maximum" and s.rule_applicability == "body_truth_only"
+            grows = self.semantics.rule_applicability == "body_truth_only" and all(self._semantics(p).support_aggregation == "maximum" for p in component)
             done, used, state = self._delta_rounds(component, state, grows)
             if done is not None:
                 return done

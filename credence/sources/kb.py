@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credence.functions.semantics import CHOICES, UnsupportedSemantics
 from credence.functions.values import Const, duration_text, moment_text, parse_duration, parse_moment
 from credence.plans import syntax
 from credence.plans.macros import Registry
@@ -49,6 +50,7 @@ class KnowledgeBase:
     constraints: list[Constraint] = field(default_factory=list)
     predicates: dict[Signature, Predicate] = field(default_factory=dict)
     bindings: dict[Signature, list[Binding]] = field(default_factory=dict)
+    aggregations: dict[Signature, str] = field(default_factory=dict)
 
     # building
     @classmethod
@@ -107,8 +109,15 @@ class KnowledgeBase:
         self.predicates.setdefault((pred, len(args)), Predicate(pred, len(args), ("entity",) * len(args)))
         return self
 
+    def configure(self, pred: str, arity: int, support_aggregation: str) -> KnowledgeBase:
+        """How the support of one predicate's atoms is aggregated, whatever a query sets for the others."""
+        if support_aggregation not in CHOICES["support_aggregation"]:
+            raise UnsupportedSemantics(f"support_aggregation can't be {support_aggregation!r}")
+        self.aggregations[pred, arity] = support_aggregation
+        return self
+
     def copy(self) -> KnowledgeBase:
-        return replace(self, facts=[*self.facts], rules=[*self.rules], constraints=[*self.constraints], predicates=dict(self.predicates), bindings={k: [*v] for k, v in self.bindings.items()})
+        return replace(self, aggregations=dict(self.aggregations), facts=[*self.facts], rules=[*self.rules], constraints=[*self.constraints], predicates=dict(self.predicates), bindings={k: [*v] for k, v in self.bindings.items()})
 
     # merging and unloading
     def merge(self, other: KnowledgeBase) -> KnowledgeBase:
@@ -124,6 +133,7 @@ class KnowledgeBase:
             mine += [s for s in theirs if s not in seen]
         for key, found in other.bindings.items():
             out.bindings.setdefault(key, []).extend(found)
+        out.aggregations |= other.aggregations
         return out
 
     def unload_predicate(self, pred: str, arity: int) -> tuple[KnowledgeBase, dict[str, int]]:
