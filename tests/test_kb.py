@@ -11,15 +11,15 @@ from credence.sources.log import EventLog, Materialization, MemoryRepository, Re
 from credence.streaming.ingest import ingest
 
 PROGRAM = """
-% a comment
-pred parent/2 @{description:"parent(P, C)"}.
-pred age/2 [person, int].
-parent(zeus, 'Hera\\'s child') @{b:0.9, src:book, et:"2026-01-01T00:00:00Z"}.
-age(zeus, 3.5) @{et:"2026-01-01T00:00:00Z"}. born(zeus, d"0800-01-01") @{et:"2026-01-01T00:00:00Z"}.
-took(zeus, dur"P1DT2H") @{et:"2026-01-01T00:00:00Z"}. at(zeus, dt"2026-01-01T10:00:00Z", "a \\"b\\"") @{et:"2026-01-01T00:00:00Z"}.
-ref(parent/2) @{et:"2026-01-01T00:00:00Z"}.
-old(X) :- age(X, Y), gt(Y, 3), not parent(_, X) @{b:0.8, et:"2026-01-01T00:00:00Z"}.
-!:- old(X), parent(X, _) @{b:0.5, et:"2026-01-01T00:00:00Z"}.
+% what a small harbour knows
+pred feeds/2 @{description:"feeds(Source, Sink)"}.
+pred draught/2 [vessel, int].
+feeds(canal, 'Mill\\'s basin') @{b:0.85, src:survey, et:"2022-05-04T00:00:00Z"}.
+draught(barge, 2.25) @{et:"2022-05-04T00:00:00Z"}. built(barge, d"1931-07-19") @{et:"2022-05-04T00:00:00Z"}.
+sailed(barge, dur"P3DT4H") @{et:"2022-05-04T00:00:00Z"}. moored(barge, dt"2022-05-04T17:45:00Z", "quay \\"east\\"") @{et:"2022-05-04T00:00:00Z"}.
+about(feeds/2) @{et:"2022-05-04T00:00:00Z"}.
+deep(X) :- draught(X, Y), gt(Y, 2), not feeds(_, X) @{b:0.75, et:"2022-05-04T00:00:00Z"}.
+!:- deep(X), feeds(X, _) @{b:0.35, et:"2022-05-04T00:00:00Z"}.
 """
 
 
@@ -150,3 +150,79 @@ def test_bound_table_filters_reach_the_scan(spark, tmp_path):
     kb = KnowledgeBase().bind("t", spark.read.parquet(f"{tmp_path}/t"), ["id", "k"], distinct=True)
     plan = Engine(spark).evaluate(kb, "?- t(X, 2).").df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,2)" in plan and "s:string" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("kind", ["log", "memory"])
+def test_parts_of_a_branch(log, kind):
+    with Repository(log) if kind == "log" else MemoryRepository() as repo:
+        with pytest.raises(KeyError):
+            repo.get_rules("main")
+        kb = KnowledgeBase.parse('pred wind/1. wind(west) @{et:"2022-05-04T00:00:00Z"}. tide(low) @{et:"2022-05-04T00:00:00Z"}.')
+        repo.save(kb)
+        more = KnowledgeBase.parse('tide(high) @{b:0.5, et:"2022-05-04T00:00:00Z"}. sail(X) :- wind(X) @{et:"2022-05-04T00:00:00Z"}. !:- wind(X), tide(X) @{et:"2022-05-04T00:00:00Z"}.')
+        repo.add_belief_record("main", more.facts[0])
+        repo.add_rule("main", more.rules[0])
+        repo.add_constraint("main", more.constraints[0])
+        assert repo.get_belief_records("main", pred_name="tide") == [kb.facts[1], more.facts[0]] and len(repo.get_belief_records("main")) == 3
+        assert repo.get_rules("main") == more.rules == repo.get_rules("main", head_pred_name="sail") and repo.get_rules("main", head_pred_name="wind") == []
+        assert repo.get_constraints("main") == more.constraints
+        assert {"wind", "tide"} <= {p.name for p in repo.get_predicates("main")}
+        with pytest.raises(KeyError):
+            repo.add_rule("nowhere", more.rules[0])
+
+
+def test_typed_arguments(spark, log):
+    from credence.streaming.ingest import as_assertions
+
+    rows = [(1, 2.5, "a \"b\"", "2020-02-29", "2020-02-29 12:30:15.25"), (2, 9.0, "c", "2021-01-01", "1969-12-31 23:59:59.5"), (None, 1.0, "x", None, None)]
+    df = spark.createDataFrame(rows, "n long, x double, s string, d string, t string").selectExpr("n", "x", "s", "cast(d as date) d", "cast(t as timestamp) z", "cast(t as timestamp_ntz) t", "INTERVAL '1 02:03:04.5' DAY TO SECOND * n as u")
+    log.append(as_assertions(df, "main", "row", ["n", "x", "s", "d", "z", "t", "u"]))
+    log.append(as_assertions(df.selectExpr("n as v"), "main", "mixed", ["v"]))
+    log.append(as_assertions(df.selectExpr("s as v"), "main", "mixed", ["v"]))
+    kb = log.attach("main")
+    ask = lambda q: Engine(spark).evaluate(kb, q).rows()
+    assert len(ask("?- row(N, X, S, D, Z, T, U).")) == 2  # a null argument is no fact
+    assert [r[0]["N"] for r in ask('?- row(N, X, _, _, _, _, _), gt(X, 5).')] == [2]
+    assert [r[0]["N"] for r in ask('?- row(N, _, "a \\"b\\"", d"2020-02-29", dt"2020-02-29T12:30:15.250000Z", dt"2020-02-29T12:30:15.250000", dur"P1DT2H3M4.5S").')] == [1]
+    assert [r[0]["N"] for r in ask('?- row(N, _, _, _, Z, _, U), lt(Z, dt"1970-01-01T00:00:00Z"), eq(U, dur"P2DT4H6M9S").')] == [2]
+    assert sorted((r[0]["V"] for r in ask("?- mixed(V).")), key=str) == [1, 2, 'a "b"', "c", "x"]
+    same = log.replay("main")  # facts of program text are the same
+    assert [r[0]["N"] for r in Engine(spark).evaluate(same, '?- row(N, _, _, _, Z, _, dur"P2DT4H6M9S").').rows()] == [2]
+
+
+def test_times_do_not_depend_on_the_sessions_zone(spark, tmp_path):
+    from credence.streaming.ingest import as_assertions
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "America/New_York")
+    log = EventLog(other, f"{tmp_path}/zoned")
+    df = other.createDataFrame([(1, "2023-11-14 22:13:20")], "n long, t string").selectExpr("n", "cast(t as timestamp_ntz) t")
+    log.append(as_assertions(df, "main", "at", ["n", "t"], et="t"))
+    assert '"et":"2023-11-14T22:13:20.000000Z"' in log.events().first().payload
+    for kb in (log.replay("main"), log.attach("main")):
+        for known, n in (("22:13:19", 0), ("22:13:21", 1)):
+            assert len(Engine(other).evaluate(kb, f'?- at(N, dt"2023-11-14T22:13:20") @{{known_at:"2023-11-14T{known}Z"}}').rows()) == n
+
+
+def test_contributions(spark, tmp_path):
+    from credence.functions.semantics import Semantics
+    from credence.sources.contributions import Contributions
+
+    rows = lambda *r: spark.createDataFrame(r, "x long, y string, e string, w double, v double")
+    store = Contributions(spark, f"{tmp_path}/c")
+    assert store.version() == 0 and store.states(("link", 2)).count() == 0
+    first = store.upsert(rows((1, "a", "p", 0.5, 0.0), (1, "a", "q", 0.2, 0.1), (2, "b", "p", 0.3, 0.0), (None, "z", "p", 1.0, 0.0)), "link", ["x", "y"], "e", b="w", d="v")
+    store.upsert(rows((1, "a", "p", 0.4, 0.5)), "link", ["x", "y"], "e", b="w", d="v")  # replaces 0.5
+    last = store.retract(rows((1, "a", "q", 0.0, 0.0), (2, "b", "no such", 0.0, 0.0)), "link", ["x", "y"], "e")
+
+    def states(version=None, how="noisy_or"):
+        got = store.states(("link", 2), version, Semantics(support_aggregation=how)).collect()
+        return {(int(r.a0.num), r.a1.txt): (round(r.b, 9), round(r.d, 9)) for r in got}
+
+    assert states(first) == {(1, "a"): (0.6, 0.1), (2, "b"): (0.3, 0.0)}
+    assert states(2) == {(1, "a"): (0.52, 0.55), (2, "b"): (0.3, 0.0)}
+    assert states() == states(last) == {(1, "a"): (0.4, 0.5), (2, "b"): (0.3, 0.0)}
+    # largest weights are never taken back
+    assert states(how="maximum") == {(1, "a"): (0.5, 0.5), (2, "b"): (0.3, 0.0)}
+    kb = store.bind(KnowledgeBase.parse("far(X) :- link(X, a)."), ("link", 2))
+    assert [(r[0]["X"], round(r[1], 9)) for r in Engine(spark).evaluate(kb, "?- far(X).").rows()] == [(1, 0.2)]
