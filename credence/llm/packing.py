@@ -95,7 +95,7 @@ def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits, en
     def run(batches):
         from pyspark import TaskContext
 
-        from credence.llm.tokens import encoder
+        from credence.llm.tokens import bounded, encoder
 
         enc, next_id, rest = encoder(tokenizer_path), TaskContext.get().partitionId() << 40, []
         conv, at, begin, loss = None, 0, 0, 0  # of the conversation that is being read
@@ -120,8 +120,8 @@ def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits, en
 
         seen = False
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for k, n in bounded(b.column(2)):
+                part = b.slice(k, n)
                 ids = enc.encode([t or "" for t in part.column(2).to_pylist()])
                 for name, role, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ids, strict=True):
                     if not seen or name != conv:
@@ -170,7 +170,7 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
     def run(batches):
         from pyspark import TaskContext
 
-        from credence.llm.tokens import encoder
+        from credence.llm.tokens import bounded, encoder
 
         enc = encoder(tokenizer_path)
         state = {"next": TaskContext.get().partitionId() << 40}
@@ -187,8 +187,8 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
 
         for b in batches:
             full: list[tuple] = []
-            for at in range(0, b.num_rows, 512):
-                doc_ids, texts = b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist()
+            for at, n in bounded(b.column(1)):
+                doc_ids, texts = b.column(0).slice(at, n).to_pylist(), b.column(1).slice(at, n).to_pylist()
                 for doc_id, ids in zip(doc_ids, enc.encode([t or "" for t in texts]), strict=True):
                     n = len(ids) + 1
                     data = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()

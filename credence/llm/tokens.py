@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,12 +20,22 @@ import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps (about 60 MB); more are encoded each time they come.
 KEPT_WORDS = 1_000_000
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 4_000_000
 #: White space that may not be cut before: runs, and all but blank and line end (fixed list).
 _ODD_SPACE = ["  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "\0"]
 _PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,;:!?|]+|[*]+|[#]+|[$]+|[&]+|[%]+)?")
 
 
+def bounded(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, count) of pieces of a column of some BATCH_CHARS bytes each; a longer text is a piece of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, done + BATCH_CHARS, "right")))
+        yield at, end - at
+        at, done = end, int(ends[end - 1])
+
+
 class Encoder:
     def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         from tokenizers import Tokenizer

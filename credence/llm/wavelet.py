@@ -41,15 +41,16 @@ def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> by
     """The file of ``ids``, the concatenated tokens of documents with these lengths."""
     bits = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     zeros, planes = [], []
-    now = ids.astype(np.uint32)
+    now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    one = now.dtype.type(1)
     for level in range(bits - 1, -1, -1):
-        ones = ((now >> np.uint32(level)) & np.uint32(1)).astype(bool)
+        ones = ((now >> now.dtype.type(level)) & one).astype(bool)
         words = _pack_bits(ones)
         counts = np.bitwise_count(words).astype(np.uint64)
         before = np.concatenate([[0], np.cumsum(counts)])[:-1][::BLOCK].astype("<u4")
         planes += [words.tobytes(), before.tobytes()]
         zeros.append(len(now) - int(ones.sum()))
-        now = np.concatenate([now[~ones], now[ones]])
+        now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
     nulls = np.packbits(np.array([d is None for d in doc_ids], bool), bitorder="little").tobytes()
     head = MAGIC + struct.pack("<IQQ", bits, len(ids), len(lengths)) + struct.pack(f"<{bits}Q", *zeros)
     named = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
@@ -141,15 +142,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the planes from the last up."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.words[plane].view(np.uint8), bitorder="little")[: self.n].astype(bool)
-            up = np.empty(self.n, np.uint32)
+            up = np.empty_like(values)
             z = self.zeros[plane]
-            up[~ones] = values[:z]
-            up[ones] = values[z:] | np.uint32(1 << (self.bits - 1 - plane))
+            up[np.flatnonzero(~ones)] = values[:z]
+            up[np.flatnonzero(ones)] = values[z:] | values.dtype.type(1 << (self.bits - 1 - plane))
             values = up
-        return values
+        return values.astype(np.uint32)
 
 
 #: Schemes that Hadoop and Arrow call differently.
@@ -188,15 +189,15 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def run(batches):
         from pyspark import TaskContext
 
-        from credence.llm.tokens import encoder
+        from credence.llm.tokens import bounded, encoder
 
         enc, task = encoder(tokenizer_path), TaskContext.get()
         end = np.array([end_id], np.uint32)
         ids, lengths, names = [], [], []
         for b in batches:
             names += b.column(0).to_pylist()
-            for at in range(0, b.num_rows, 512):
-                for own in enc.encode([t or "" for t in b.column(1).slice(at, 512).to_pylist()]):
+            for at, n in bounded(b.column(1)):
+                for own in enc.encode([t or "" for t in b.column(1).slice(at, n).to_pylist()]):
                     ids += [own, end]
                     lengths.append(len(own) + 1)
         if names:
