@@ -401,6 +401,33 @@ def _per_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("b", F.round("b", 6)).withColumn("d", F.round("d", 6))
 
 
+def _index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one part, from a copy sorted by part."""
+    from credence.sources.kb import store_sorted
+    from credence.sources.shared import fresh_path
+
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount")
+    kb = KnowledgeBase().bind("line", store_sorted(lines, fresh_path(spark, "by-part"), ["l_partkey", "l_orderkey"]), ["l_orderkey", "l_partkey", "l_suppkey"], b=F.col("l_discount"))
+    df = Engine(spark).evaluate(kb, f"?- line(O, 42, S) @{{{FOREVER}}}").df
+    return df.withColumn("b", F.round("b", 6))
+
+
+def _jdbc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in a database, and a branch with a rule over it."""
+    import uuid
+
+    from credence.sources.log import JdbcLog
+    from credence.streaming.ingest import as_assertions
+
+    log = JdbcLog(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"}, partitions=2)
+    log.append(as_assertions(_table(spark, sf_dir, "supplier"), "main", "supplier", ["s_suppkey", "s_nationkey"]))
+    log.append(as_assertions(_table(spark, sf_dir, "nation"), "other", "nation", ["n_nationkey"]))
+    gone = log.facts("main").filter("cast(get_json_object(payload, '$.atom.args[0].value') as long) % 5 = 0")
+    log.append(gone.select("branch", F.lit("retract").alias("kind"), F.col("event_id").alias("target_event_id")))
+    log.record(KnowledgeBase.parse("near(S) :- supplier(S, N), lt(N, 6) @{b:0.5}."))
+    return Engine(spark).evaluate(log.attach("main"), f"?- near(S) @{{{FOREVER}}}").df
+
+
 def _explain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _explain(spark, sf_dir)
     total = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 4).alias(c)
@@ -434,6 +461,8 @@ UNION ALL SELECT 'rule_applicability', 'risky/1', count(*), count(DISTINCT o_cus
 UNION ALL SELECT 'rule_support', 'risky/1', count(*), count(DISTINCT o_custkey), count(*), count(*), round(count(*) * 0.9, 4), round(count(*) * 0.05, 4) FROM r""",
     ),
     "order_mixed": (_mixed_order, _MIXED_SQL),
+    "index_lookup": (_index_lookup, _sql('"O", "S"', f'SELECT l_orderkey AS "O", l_suppkey AS "S", {_or("l_discount")} AS b, 0.0 AS d FROM lineitem WHERE l_partkey = 42 GROUP BY 1, 2 HAVING max(l_discount) > 0')),
+    "log_jdbc": (_jdbc_log, """SELECT s_suppkey AS "S", 0.5::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM supplier WHERE s_nationkey < 6 AND s_suppkey % 5 <> 0"""),
     "log_typed": (_log_typed, """SELECT o_orderkey AS "O", o_totalprice AS "P", o_orderdate AS "T", 1.0::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000 AND o_orderdate < TIMESTAMP '1997-06-01'"""),
     "log_other_zone": (_log_other_zone, """SELECT o_orderkey AS "O", 'column' AS "by" FROM orders WHERE o_orderdate > TIMESTAMP '1997-06-01' AND o_orderdate <= TIMESTAMP '1998-01-01' UNION ALL SELECT o_orderkey, 'payload' FROM orders WHERE o_orderkey < 300 AND o_orderdate <= TIMESTAMP '1998-01-01'"""),
     "log_attach": (_attach, """SELECT o_orderkey AS "O", o_orderstatus AS "S", 0.75::DOUBLE AS b, 0.0::DOUBLE AS d, 'true' AS status FROM orders WHERE o_totalprice > 400000"""),

@@ -226,3 +226,32 @@ def test_contributions(spark, tmp_path):
     assert states(how="maximum") == {(1, "a"): (0.5, 0.5), (2, "b"): (0.3, 0.0)}
     kb = store.bind(KnowledgeBase.parse("far(X) :- link(X, a)."), ("link", 2))
     assert [(r[0]["X"], round(r[1], 9)) for r in Engine(spark).evaluate(kb, "?- far(X).").rows()] == [(1, 0.2)]
+
+
+def test_log_in_a_database(spark):
+    import uuid
+
+    from credence.sources.log import JdbcLog
+
+    log = JdbcLog(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"}, partitions=2)
+    repo = Repository(log)
+    assert log.watermark() == 0 and repo.list_names() == []
+    kb = KnowledgeBase.parse('wind(west) @{et:"2022-05-04T00:00:00Z"}. tide(7) @{b:0.5, et:"2022-05-04T00:00:00Z"}. sail(X) :- wind(X) @{et:"2022-05-04T00:00:00Z"}.')
+    repo.save(kb)
+    assert same(repo.require("main"), kb) and log.watermark() == 3
+    kb.facts.pop()
+    repo.save(kb)
+    assert repo.get_belief_records("main") == kb.facts and log.facts("main", 3).count() == 2
+    repo.delete("main")
+    assert repo.get("main") is None
+
+
+def test_sorted_tables_skip_files(spark, tmp_path):
+    from credence.sources.kb import store_sorted
+
+    df = spark.range(4000).selectExpr("(id * 37) % 4000 as k", "id as v").repartition(6)
+    made = store_sorted(df, f"{tmp_path}/sorted", ["k"], files=8)
+    kb = KnowledgeBase().bind("t", made, ["k", "v"], distinct=True)
+    assert len(Engine(spark).evaluate(kb, "?- t(1234, V).").rows()) == 1
+    ranges = made.groupBy(F.input_file_name()).agg(F.min("k"), F.max("k")).collect()
+    assert len(ranges) == 8 and sum(lo <= 1234 <= hi for _, lo, hi in ranges) == 1
