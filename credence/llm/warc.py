@@ -46,26 +46,29 @@ def resolve_revisits(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
     last_modified string, headers map<string,string> with lower-case names, payload_digest string.  Only responses with
     status 200 are full.  "Earlier" is by (at, record_id).  Status is
     ``resolved``, ``mismatch`` (the validators differ, or neither is there on both), or ``missing``.  Revisits with a null URL or time are ``missing``;
-    responses with either are not used.  Repeated records are resolved each.  Other columns are ignored.
+    responses with either are not used.  Repeated records are resolved each, and of
+    responses repeated with one id and time the last by validators, digest and fields is the one that counts.  Other columns are ignored.
     """
     picked = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "at", "kind", "status", "etag", "last_modified", "headers", "payload_digest")
     placed = picked.filter("canonical is not null and at is not null")
     # as many ranges as the cluster has shuffle partitions, and more where they would hold more rows than that
     n_ranges = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // range_rows)
     ranged = placed.repartitionByRange(n_ranges, "canonical", "at", "record_id").withColumn("range", F.spark_partition_id())
-    rows = shared_table(ranged, "warc-ranges")
+    # of records repeated with one id, time and URL, the last in this order counts, one without a validator first
+    fields = F.array_sort(F.map_entries(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
+    rows = shared_table(ranged.withColumn("tie", F.concat_ws("\x01", *[F.coalesce(c, F.lit("")) for c in ("etag", "last_modified", "payload_digest")], F.to_json(fields))), "warc-ranges")
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     source = F.struct("at", "record_id", "etag", "last_modified", "headers", "payload_digest")
     rows = rows.withColumn("source", F.when(full, source))
-    earlier = Window.partitionBy("range", "canonical").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("range", "canonical").orderBy("at", "record_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("near", F.last("source", ignorenulls=True).over(earlier))
     # the last full response of each URL in each range, and by carrying, before each range
-    ends = rows.filter(full).groupBy("canonical", "range").agg(F.max(F.struct("at", "record_id")).alias("end"))
+    ends = rows.filter(full).groupBy("canonical", "range").agg(F.max(F.struct("at", "record_id", "tie")).alias("end"))
     before = Window.partitionBy("canonical").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     spots = rows.select("canonical", "range").distinct().join(ends, ["canonical", "range"], "left")
-    carried = spots.withColumn("carry", F.last("end", ignorenulls=True).over(before)).filter("carry is not null").select("canonical", "range", F.col("carry.at").alias("c_at"), F.col("carry.record_id").alias("c_id"))
-    sources = rows.filter(full).select(F.col("canonical").alias("s_url"), F.col("at").alias("s_at"), F.col("record_id").alias("s_id"), "source").dropDuplicates(["s_url", "s_at", "s_id"])
-    carried = carried.join(sources, (F.col("canonical") == F.col("s_url")) & (F.col("c_at") == F.col("s_at")) & (F.col("c_id") == F.col("s_id"))).select("canonical", "range", F.col("source").alias("far"))
+    carried = spots.withColumn("carry", F.last("end", ignorenulls=True).over(before)).filter("carry is not null").select("canonical", "range", F.col("carry.at").alias("c_at"), F.col("carry.record_id").alias("c_id"), F.col("carry.tie").alias("c_tie"))
+    sources = rows.filter(full).select(F.col("canonical").alias("s_url"), F.col("at").alias("s_at"), F.col("record_id").alias("s_id"), F.col("tie").alias("s_tie"), "source").dropDuplicates(["s_url", "s_at", "s_id", "s_tie"])
+    carried = carried.join(sources, (F.col("canonical") == F.col("s_url")) & (F.col("c_at") == F.col("s_at")) & (F.col("c_id") == F.col("s_id")) & (F.col("c_tie") == F.col("s_tie"))).select("canonical", "range", F.col("source").alias("far"))
     asked = local.filter("kind = 'revisit'").drop("source").join(carried, ["canonical", "range"], "left").withColumn("found", F.coalesce("near", "far"))
 
     tags = F.col("etag").isNotNull() & F.col("found.etag").isNotNull()

@@ -74,3 +74,15 @@ def test_text_unlike_every_language_is_rejected(spark):
     assert model.predict("123")[3]
     zero = langid.Model(model.languages, model.code, model.weights * 0, model.bias * 0, model.trust, model.scale)
     assert zero.predict("the sea and the road")[3]
+
+
+def test_repeated_responses(spark):
+    from credence.llm import warc
+
+    full = [(1, "http://a.example/x", 10, "response", 200, t, None, {"x": t or "-"}, f"p{t}") for t in ('"a"', '"b"', '"b"', None)]
+    asked = [(2, "http://a.example/x", 20, "revisit", 304, '"b"', None, None, None)] * 2
+    data = spark.createDataFrame(full + asked, "record_id long, url string, at_s long, kind string, status int, etag string, last_modified string, headers map<string,string>, payload_digest string")
+    data = data.selectExpr("*", "timestamp_seconds(at_s) as at", "1 as tie", "2 as source").repartition(3)
+    for size in (100_000, 1):
+        rows = warc.resolve_revisits(data, range_rows=size).collect()
+        assert [(r.status, r.resolved_id, r.headers, r.payload_digest) for r in rows] == [("resolved", 1, {"x": '"b"'}, 'p"b"')] * 2
