@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from collections.abc import Callable, Iterable
 from pathlib import Path
@@ -13,6 +14,7 @@ from credence.engine import Engine
 from credence.functions.values import render_temporal
 from credence.plans import syntax
 from credence.plans.macros import Registry
+from credence.prompt import extract_prompt, query_prompt, schema
 from credence.sources.kb import DuplicateDeclaration, KnowledgeBase
 
 HELP = """  dump [--json] [--file <path>] [--no-predicates] [--no-belief-records] [--no-rules] [--no-constraints]
@@ -100,7 +102,7 @@ class Terminal:
             self.say(text)
 
     def do_schema(self, args: list[str]) -> None:
-        self.say('{"type": "object", "required": ["statements"], "properties": {"name": {"type": "string"}, "statements": {"type": "array", "items": {"type": "object", "required": ["kind"], "properties": {"kind": {"enum": ["predicate", "fact", "rule", "constraint"]}}}}}}')
+        self.say(json.dumps(schema()))
 
     def do_load(self, args: list[str]) -> None:
         self.kb = self.kb.merge(KnowledgeBase.load(args[0], "--fix" in args))
@@ -139,32 +141,76 @@ class Terminal:
             self.say(line)
 
 
+def _written(text: str, path: str | None) -> None:
+    if path:
+        Path(path).write_text(text + "\n", encoding="utf-8")
+    else:
+        print(text)
+
+
+def _loaded(files: list[str]) -> KnowledgeBase:
+    kb = KnowledgeBase()
+    for f in files:
+        kb = kb.merge(KnowledgeBase.load(f))
+    return kb
+
+
+def _tools(argv: list[str]) -> int:
+    """merge, schema, extract-prompt and query-prompt need no engine."""
+    p = argparse.ArgumentParser(prog="credence")
+    sub = p.add_subparsers(dest="tool", required=True)
+    m = sub.add_parser("merge", help="write the merged program or JSON")
+    m.add_argument("out")
+    m.add_argument("files", nargs="*")
+    sub.add_parser("schema", help="the JSON schema of a knowledge base").add_argument("--out")
+    e = sub.add_parser("extract-prompt", help="a prompt for the statements that a text supports")
+    e.add_argument("source", help="a file, or the text itself")
+    e.add_argument("--json", action="store_true")
+    q = sub.add_parser("query-prompt", help="a prompt for the query that answers a question")
+    q.add_argument("question")
+    for x in (e, q):
+        x.add_argument("--file", action="append", default=[], help="program or JSON file that is known already")
+        x.add_argument("--out")
+    a = p.parse_args(argv)
+    if a.tool == "merge":
+        out = _loaded(a.files)
+        _written(out.to_json() if a.out.endswith(".json") else out.render(), a.out)
+    elif a.tool == "schema":
+        _written(json.dumps(schema(), indent=1), a.out)
+    elif a.tool == "extract-prompt":
+        text = Path(a.source).read_text(encoding="utf-8") if Path(a.source).is_file() else a.source
+        _written(extract_prompt(text, _loaded(a.file) if a.file else None, a.json), a.out)
+    else:
+        _written(query_prompt(a.question, _loaded(a.file)), a.out)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] and argv[0] in ("merge", "schema", "extract-prompt", "query-prompt"):
+        return _tools(argv)
     p = argparse.ArgumentParser(prog="credence", description=__doc__)
     p.add_argument("--file", action="append", default=[], help="program or JSON file to load first")
+    p.add_argument("--memory", "--edb", choices=["memory", "log"], help="where the branch is kept; log if --log is given")
     p.add_argument("--log", help="folder of the event log that holds the branch")
+    p.add_argument("--tmp", action="store_true", help="keep nothing, whatever --memory says")
+    p.add_argument("--engine", "--idb", choices=["spark"], default="spark", help="there is one engine")
     p.add_argument("--branch", default="main")
-    p.add_argument("merge", nargs="*", help="'merge OUT FILE...' writes the merged program and ends")
     a = p.parse_args(argv)
-    if a.merge[:1] == ["merge"]:
-        out = KnowledgeBase()
-        for f in a.merge[2:]:
-            out = out.merge(KnowledgeBase.load(f))
-        Path(a.merge[1]).write_text((out.to_json() if a.merge[1].endswith(".json") else out.render()) + "\n", encoding="utf-8")
-        return 0
-    from credence.sources.log import EventLog, Repository
+    if a.memory == "log" and not a.log and not a.tmp:
+        p.error("--memory log needs --log")
+    from credence.sources.log import EventLog, MemoryRepository, Repository
 
     spark = SparkSession.builder.appName("credence").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    store = Repository(EventLog(spark, a.log)) if a.log else None
-    kb = (store and store.get(a.branch)) or KnowledgeBase(a.branch)
+    store = Repository(EventLog(spark, a.log)) if a.log and not a.tmp and a.memory != "memory" else MemoryRepository()
+    kb = store.get(a.branch) or KnowledgeBase(a.branch)
     for f in a.file:
         kb = kb.merge(KnowledgeBase.load(f))
     terminal = Terminal(Engine(spark), kb)
     for line in sys.stdin:
         if not terminal.line(line.rstrip("\n")):
             break
-    if store:
-        store.save(terminal.kb)
+    store.save(terminal.kb)
     return 0
 
 

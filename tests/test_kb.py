@@ -255,3 +255,36 @@ def test_sorted_tables_skip_files(spark, tmp_path):
     assert len(Engine(spark).evaluate(kb, "?- t(1234, V).").rows()) == 1
     ranges = made.groupBy(F.input_file_name()).agg(F.min("k"), F.max("k")).collect()
     assert len(ranges) == 8 and sum(lo <= 1234 <= hi for _, lo, hi in ranges) == 1
+
+
+def test_tools(tmp_path, capsys, monkeypatch, spark):
+    import io
+    import json
+
+    from credence.cli import main
+
+    one, two, out = (tmp_path / x for x in ("one.txt", "two.txt", "out.json"))
+    one.write_text('pred wind/1 @{description:"where it blows from"}. wind(west) @{et:"2022-05-04T00:00:00Z"}.')
+    two.write_text('sail(X) :- wind(X) @{et:"2022-05-04T00:00:00Z"}.')
+    assert main(["merge", str(out), str(one), str(two)]) == 0
+    merged = json.loads(out.read_text())
+    assert same(KnowledgeBase.from_json(out.read_text()), KnowledgeBase.load(str(one)).merge(KnowledgeBase.load(str(two))))
+    main(["schema"])
+    made = json.loads(capsys.readouterr().out)
+    kinds = {x["properties"]["kind"]["const"]: x for x in made["properties"]["statements"]["items"]["anyOf"]}
+    assert kinds.keys() == {"predicate", "fact", "rule", "constraint"}
+    for row in merged["statements"]:  # what is written has what the schema needs, and nothing that it doesn't name
+        assert set(kinds[row["kind"]]["required"]) <= row.keys() <= kinds[row["kind"]]["properties"].keys()
+    main(["extract-prompt", "The wind came from the west.", "--file", str(one), "--json"])
+    text = capsys.readouterr().out
+    assert "The wind came from the west." in text and "pred wind/1" in text and '"statements"' in text
+    main(["query-prompt", "Who may sail?", "--file", str(two)])
+    text = capsys.readouterr().out
+    assert "Who may sail?" in text and "sail(X) :- wind(X)" in text and "between/3" in text
+    # a session in a log, and one that keeps nothing
+    for flags, n in (([], 1), (["--tmp"], 1)):
+        monkeypatch.setattr("sys.stdin", io.StringIO("wind(east).\n?- wind(X).\n/- quit\n" if not flags else "wind(south).\n/- quit\n"))
+        assert main(["--log", str(tmp_path / "log"), "--memory", "log", *flags]) == 0
+        assert len(EventLog(spark, str(tmp_path / "log")).replay("main").facts) == n
+    with pytest.raises(SystemExit):
+        main(["--memory", "log"])
