@@ -18,7 +18,7 @@ from credence.plans.analysis import Graph, applicable
 from credence.plans.demand import rewrite
 from credence.plans.model import AnyGoal, Assume, Atom, Const, Fact, Goal, Note, Options, Rule, Signature, Var
 from credence.sources.kb import Binding, KnowledgeBase
-from credence.sources.shared import store, stored
+from credence.sources.shared import store_counted, stored
 
 
 class FixpointProblem(RuntimeError):
@@ -333,13 +333,10 @@ class Evaluator:
                             made[p].append(x.df)
             new, found, again = {}, 0, 0
             for p in component:
-                path, schema = self._grown(p, made[p], state[p])
-                if path is None:
+                if not made[p]:
                     new[p] = Relation(self._empty(p), self.kinds[p], unique=True)
                     continue
-                df = self.spark.read.schema(schema).parquet(path)
-                known = ~F.col("__fresh") & F.col("__larger") if grows else ~F.col("__fresh")
-                counts = df.agg(F.count_if("__larger"), F.count_if(known)).first()
+                path, df, counts = self._grown(p, made[p], state[p], grows)
                 found, again = found + counts[0], again + counts[1]
                 new[p] = Relation(df.filter("__larger").drop("__larger", "__fresh"), self.kinds[p], unique=True)
                 paths.setdefault(p, []).append(path)
@@ -364,20 +361,20 @@ class Evaluator:
         later = self.spark.read.schema(schema).parquet(*paths).filter("__larger").drop("__larger")
         return Relation(first.df.unionByName(later), first.kinds, unique=True)
 
-    def _grown(self, p: Signature, made: list[DataFrame], known: Relation) -> tuple[str | None, T.StructType | None]:
-        """A table of the atoms made: whether each is new (``__fresh``), and whether new or larger than known (``__larger``)."""
-        if not made:
-            return None, None
+    def _grown(self, p: Signature, made: list[DataFrame], known: Relation, grows: bool) -> tuple[str, DataFrame, tuple[int, int]]:
+        """A table of the atoms made, and which are new or larger than known (``__larger``); how many these are, and how many
+        of all, or of these if weights grow, were known."""
         n = range(p[1])
         got = self._aggregated(p, made).df
         keys = [group_key(Val(F.col(f"a{i}"), k)) for i, k in enumerate(self.kinds[p])]
         old = known.df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col("b").alias("b0"), F.col("d").alias("d0"))
-        met = got.withColumns({f"k{i}": k for i, k in enumerate(keys)}).join(old, [f"k{i}" for i in n], "left")
+        met = got.select("*", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).join(old, [f"k{i}" for i in n], "left")
         fresh = F.col("b0").isNull()
         larger = fresh | (F.col("b") > F.col("b0") + EPS) | (F.col("d") > F.col("d0") + EPS)
         weights = [F.greatest(c, F.coalesce(f"{c}0", F.lit(0.0))).alias(c) for c in "bd"]
         rows = met.select(*[f"a{i}" for i in n], *weights, larger.alias("__larger"), fresh.alias("__fresh"))
-        return store(rows, "delta"), rows.schema
+        path, counts = store_counted(rows, "delta", [F.count_if("__larger"), F.count_if(~F.col("__fresh") & F.col("__larger") if grows else ~F.col("__fresh"))])
+        return path, self.spark.read.schema(rows.schema).parquet(path), (counts[0], counts[1])
 
     def _cyclic(self, component: list[Signature], state: dict[Signature, Relation]) -> bool:
         """Whether atoms of the component support themselves: peel off those that rest on nothing inside."""

@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+#: Seconds to wait for metrics of a write that is done.
+METRICS_WAIT = 10
 #: Paths made inside each open ``scratch``.
 _scopes: list[list[str]] = []
 
@@ -63,6 +66,20 @@ def store(df: DataFrame, label: str) -> str:
     return path
 
 
+def store_counted(df: DataFrame, label: str, counts: list[Column]) -> tuple[str, list]:
+    """Like ``store``, and some aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    names = [f"count_{i}" for i in range(len(counts))]
+    path = store(df.observe(seen, *[c.alias(n) for c, n in zip(counts, names, strict=True)]), label)
+    got: list[dict] = []
+    waiting = threading.Thread(target=lambda: got.append(seen.get), daemon=True)
+    waiting.start()
+    waiting.join(METRICS_WAIT)
+    if not got:  # a busy driver may lose what listeners are told
+        return path, list(df.sparkSession.read.schema(df.schema).parquet(path).agg(*counts).first())
+    return path, [got[0][n] for n in names]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written there and read again, which cuts its lineage and survives lost executors."""
     return df.sparkSession.read.schema(df.schema).parquet(store(df, label))
