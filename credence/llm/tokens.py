@@ -20,7 +20,9 @@ import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps (about 60 MB); more are encoded each time they come.
 KEPT_WORDS = 1_000_000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
+#: Distinct words that are Python strings at a time.
+WORDS_AT_ONCE = 1 << 15
 #: White space that may not be cut before: runs, and all but blank and line end (fixed list).
 _ODD_SPACE = ["  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "\0"]
 _PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,;:!?|]+|[*]+|[#]+|[$]+|[&]+|[%]+)?")
@@ -137,7 +139,8 @@ class Encoder:
     def _batch(self, texts: list[str], rows: list[int], out: list) -> None:
         joined = "\0\0".join(texts[i] for i in rows).replace("\n", "\0\n").replace(" ", "\0 ")
         coded = pc.split_pattern(pa.array([joined], pa.large_string()), "\0").flatten().dictionary_encode()
-        row = self._rows(coded.dictionary.to_pylist(), True)
+        some = range(0, len(coded.dictionary), WORDS_AT_ONCE)
+        row = np.concatenate([self._rows(coded.dictionary.slice(at, WORDS_AT_ONCE).to_pylist(), True) for at in some])
         # views, not copies; they go before the arrays are cut back
         pool, starts = np.frombuffer(self.pool, np.uint32), np.frombuffer(self.starts, np.int64)
         word = coded.indices.to_numpy()
