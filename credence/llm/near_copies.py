@@ -1,10 +1,12 @@
-"""Near copies by MinHash bands and an exact check: pairs whose 5-word shingles have a Jaccard similarity of 0.8.
+"""Near copies by SimHash, MinHash bands and an exact check: pairs whose 5-word shingles have a Jaccard similarity of 0.8.
 
-A document has 192 MinHashes in 32 bands of 6; documents that agree in a band share a bucket.  A pair at the least
-similarity shares none with a probability of 6e-5, a closer one with less.  Buckets are not compared pair by pair
-at once: each member is first checked against one for all its buckets, then, if it isn't known to belong with it, against a random member of
+The first links come as in op1, from 64-bit SimHashes that a vantage-point tree finds to differ in at most 2 bits, here those of the
+distinct 5-word shingles.  A pair at the least similarity differs in 10 bits on average, a radius at which a tree prunes
+nothing, so pairs beyond 2 bits are met in buckets: a document has 192 MinHashes in 32 bands of 6, and documents that agree in
+a band share a bucket.  A pair at the least similarity shares none with a probability of 6e-5, a closer one with less.  Buckets are not compared pair by pair
+at once: each member that its fingerprint hasn't linked is first checked against one for all its buckets, then, if it isn't known to belong with it, against a random member of
 the commonest component of each of its buckets, which joins large groups of copies with few checks; at last all
-pairs of a bucket are checked whose members are still in different components.  A check compares the full sets of
+pairs of a bucket are checked whose members are still in different components.  A check, also of what fingerprints link, compares the full sets of
 shingle hashes, so what is linked is similar and no pair that shares a bucket is left out.
 """
 
@@ -16,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.common import lookup, released, row_hash, shared_table, ship, without_rows
-from credence.llm.simhash import components, shingle_hashes
+from credence.llm.simhash import components, fingerprint, near_links, shingle_hashes
 
 WIDTH = 5
 #: The least similarity of near copies, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 32, 6
+#: Fingerprints of so many different bits are near.
+MAX_BITS = 2
 #: Buckets of so many members are compared in full.
 SMALL_BUCKET = 32
 #: How often members go that have too few shingles in common with others, as each time the others are fewer.
@@ -51,7 +55,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """node, doc_id, n (distinct shingles), keys of rows (node, doc_id, text); texts without words have none."""
+    """node, doc_id, n (distinct shingles), fp (their SimHash), keys of rows (node, doc_id, text); texts without words have none."""
     ship(rows.sparkSession)
 
     def run(batches):
@@ -59,15 +63,16 @@ def sketches(rows: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                hashes = [shingle_hashes(t or b"", WIDTH) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                hashes = [np.unique(shingle_hashes(t or b"", WIDTH)) for t in part.column(2).cast(pa.binary()).to_pylist()]
                 has = [i for i, h in enumerate(hashes) if len(h)]
                 if has:
                     keys = band_keys(np.stack([minhashes(hashes[i], multipliers) for i in has])).view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                    sizes = pa.array([len(np.unique(hashes[i])) for i in has], pa.int32())
-                    yield pa.record_batch([part.column(0).take(pa.array(has)), part.column(1).take(pa.array(has)), sizes, lists], ["node", "doc_id", "n", "keys"])
+                    sizes = pa.array([len(hashes[i]) for i in has], pa.int32())
+                    prints = pa.array(np.array([fingerprint(hashes[i]) for i in has], np.uint64).view(np.int64))
+                    yield pa.record_batch([part.column(0).take(pa.array(has)), part.column(1).take(pa.array(has)), sizes, prints, lists], ["node", "doc_id", "n", "fp", "keys"])
 
-    return rows.mapInArrow(released(run), "node long, doc_id long, n int, keys array<long>")
+    return rows.mapInArrow(released(run), "node long, doc_id long, n int, fp long, keys array<long>")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -98,6 +103,20 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.filter(F.col("shared") * LEAST[1] >= (F.col("n") - F.col("shared")) * LEAST[0]).select("a", "b")
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): links between nodes of ``prints`` (node, n, fp) by equal fingerprints and by those that the vantage-point tree links.
+
+    Each node meets one of its fingerprint's, and these meet along the tree's links, so there are at most two for a node.
+    """
+    one = F.min(F.struct("node", "n")).alias("one")
+    classes = shared_table(prints.groupBy("fp").agg(one, F.count("*").alias("rows")).select("fp", F.col("one.node").alias("centre"), F.col("one.n").alias("m"), "rows"), "fingerprint-classes")
+    same = lookup(prints.select("node", "n", "fp"), classes.filter("rows > 1"), ["fp"], "rows", prints.count()).filter("node <> centre")
+    linked = near_links(classes.select(F.col("fp").alias("rep"), "fp"), MAX_BITS)
+    of_a = classes.select(F.col("fp").alias("a"), F.col("centre").alias("node"), F.col("m").alias("n"))
+    near = linked.join(of_a, "a").join(classes.select(F.col("fp").alias("b"), "centre", "m"), "b")
+    return _pairs(same, "node", "centre").unionByName(_pairs(near, "node", "centre"))
+
+
 def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return buckets.join(found, "node", "left").select(*buckets.columns, F.coalesce("component", "node").alias("label"))
 
@@ -190,6 +209,12 @@ def shareable(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return each.join(met, "x", "left_semi").groupBy("node").agg(F.count("*").cast("int").alias("s"))
 
 
+def _near(links: DataFrame) -> DataFrame:
+    """(node, component) of linked nodes, by one link of each: the largest of its neighbours and itself."""
+    near = links.unionByName(links.toDF("b", "a")).groupBy("a").agg(F.max("b").alias("b"))
+    return near.select(F.col("a").alias("node"), F.greatest("a", "b").alias("component"))
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None) -> DataFrame:
     """``links``, and the similar ones of ``pairs``."""
     more = similar(shared_table(pairs, "near-pairs"), sets)
@@ -210,14 +235,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = lookup(each, shared, ["key"], "rows", prints.count() * BANDS).filter("size is not null")
     buckets = shared_table(buckets.select("key", "node", "n").distinct(), "buckets")
     n = buckets.count()
-    inside = buckets.select("node").distinct()
+    met = shared_table(fingerprint_pairs(prints.select("node", "n", "fp")), "fingerprint-pairs")
+    inside = buckets.select("node").unionByName(met.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     sets = shared_table(shingle_sets(named.join(inside, "node", "left_semi").dropDuplicates(["node"]).select("node", "text")), "shingle-sets")
     # a label stands for nodes that are known to be in one component; finer ones only cost more checks
-    links = _checked(star_pairs(buckets.withColumn("label", F.col("node")), n), sets, None)
-    near = links.unionByName(links.toDF("b", "a")).groupBy("a").agg(F.max("b").alias("b"))
-    for choose, found in ((star_pairs, near.select(F.col("a").alias("node"), F.greatest("a", "b").alias("component"))), (cross_pairs, None)):
-        found = components(links) if found is None else found
-        members = shared_table(_labelled(buckets, shared_table(found, "near-components")), "bucket-members")
+    links = _checked(met, sets, None)
+    for choose, label in ((star_pairs, _near), (star_pairs, _near), (cross_pairs, components)):
+        members = shared_table(_labelled(buckets, shared_table(label(links), "near-components")), "bucket-members")
         links = _checked(star_pairs(members, n) if choose is star_pairs else cross_pairs(members, n, sets), sets, links)
     found = shared_table(components(links), "near-components")
     ids = found.join(prints.select("node", "doc_id").distinct(), "node")

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from credence.llm import near_copies
 from tests.llm.test_operators import shingles
@@ -68,3 +69,24 @@ def test_all_pairs_of_different_labels(spark):
     members = spark.createDataFrame(data, "key long, node long, label long")
     want = {(a, b) for k, a, x in data for j, b, y in data if k == j and a < b and x != y}
     assert {tuple(r) for r in near_copies.cross_pairs(members, len(data)).collect()} == want
+
+
+def test_fingerprints_link_near_copies(spark, rows, monkeypatch):
+    """Without any bucket, what op1's method links goes, and nothing that isn't similar."""
+    from credence.llm.simhash import fingerprint, shingle_hashes
+
+    none = lambda members, *_: members.select(members.node.alias("a"), members.node.alias("b")).filter("false")
+    monkeypatch.setattr(near_copies, "star_pairs", none)
+    monkeypatch.setattr(near_copies, "cross_pairs", none)
+    long = " ".join(f"v{i} v{i % 7}" for i in range(3000))
+    some = [(d, t) for d, t in rows if d is not None and d < 900] + [(1000 + k, f"{long} {'x ' * k}") for k in range(4)]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    left = {r.doc_id for r in near_copies.deduplicated(docs).collect()}
+    assert len(left) < len(some) and left & {1000, 1001, 1002, 1003} == {1000}
+    prints = {d: fingerprint(np.unique(shingle_hashes(t.encode(), 5))) for d, t in some}
+    text = dict(some)
+    for d in set(text) - left:
+        assert any(o != d and alike(text[d], text[o]) for o in text)
+    for d, t in some:
+        if any(o < d and prints[d] == prints[o] and alike(t, u) for o, u in some):
+            assert d not in left
