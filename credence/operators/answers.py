@@ -49,7 +49,7 @@ class Answers:
 
 
 def answer(ev: Evaluator, variables: list[str], options: Options) -> Answers:
-    body = ev.body(ev.goals, ev._provide())
+    body = ev.body(ev.goals, ev._provide(), split=True)
     names = [v for v in variables if v in body.env] if not body.dead else []
     vals = [body.env[v] for v in names]
     cols = [v.col.alias(f"v{i}") for i, v in enumerate(vals)]

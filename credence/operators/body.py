@@ -16,6 +16,9 @@ from credence.functions.values import Val, equal, literal, merged_kind
 from credence.plans.model import AnyGoal, Assume, Atom, Builtin, Const, Goal, Var
 
 _fresh = count()
+#: Members of a group that a self-join pairs at once; larger groups are split into ranges of values, at most MOST_RANGES.
+SPLIT_ROWS = 2000
+MOST_RANGES = 16
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,8 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, conditions, F.lit(True)) if len(conditions) != 1 else conditions[0]
 
 
-def compile_body(spark: SparkSession, goals: tuple[AnyGoal, ...], provide: Provider, semantics: Semantics) -> Body:
+def compile_body(spark: SparkSession, goals: tuple[AnyGoal, ...], provide: Provider, semantics: Semantics, split: bool = False) -> Body:
+    """The goals in their order.  With ``split``, the sizes of groups are counted that a predicate's join with itself pairs in order."""
     body = Body(None, {}, F.lit(1.0), F.lit(0.0), [], [])
     for at, g in enumerate(goals):
         if isinstance(g, Assume):
@@ -62,7 +66,7 @@ def compile_body(spark: SparkSession, goals: tuple[AnyGoal, ...], provide: Provi
         elif g.negated:
             _without(spark, body, g.atom, provide(at, g.atom, True))
         else:
-            _join(body, g.atom, provide(at, g.atom, False), semantics)
+            _join(body, g.atom, provide(at, g.atom, False), semantics, goals[at + 1 :] if split else ())
         if body.dead:
             break
     if body.df is None:
@@ -92,7 +96,53 @@ def _match(atom: Atom, cols: list[Val], env: dict[str, Val]) -> tuple[list[Colum
     return own, with_bound, new
 
 
-def _join(body: Body, atom: Atom, rel: Relation, semantics: Semantics) -> None:
+def _ordered_pair(body: Body, atom: Atom, new: dict[str, Val], goals: tuple[AnyGoal, ...]) -> tuple[str, str] | None:
+    """The names of a smaller and a larger whole number, one bound and one of ``new``, that a later goal wants in that order.
+
+    Only where ``atom`` is the second and of the first's predicate, so that groups are as large on both sides.
+    """
+    if len(body.atoms) != 1 or body.atoms[0][0].signature != atom.signature:
+        return None
+    known = body.env | new
+    for g in goals:
+        if isinstance(g, Builtin) and g.name in ("lt", "leq", "gt", "geq") and all(isinstance(a, Var) and a.name in known for a in g.args):
+            x, y = (a.name for a in g.args)
+            if (x in new) != (y in new) and known[x].kind == known[y].kind == "int":
+                return (x, y) if g.name in ("lt", "leq") else (y, x)
+    return None
+
+
+def _cuts(df: DataFrame, keys: list[Column], value: Column) -> list[int]:
+    """Where to cut the values of rows, if many have the same keys."""
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    ranges = min(MOST_RANGES, -(-most // SPLIT_ROWS))
+    if ranges < 2:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
+
+
+def _ranged(df: DataFrame, value: Column, cuts: list[int], smaller: bool, names: tuple[str, str]) -> DataFrame:
+    """A row for each pair of ranges, the smaller value's and the larger's, that it may be in; null is in none."""
+    own = reduce(lambda x, y: x + y, [(value >= F.lit(c)).cast("int") for c in cuts])
+    low, high = (own, F.explode(F.sequence(own, F.lit(len(cuts))))) if smaller else (F.explode(F.sequence(F.lit(0), own)), own)
+    return df.withColumns({names[0]: low, names[1]: high})
+
+
+def _split_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], bound: list[Column], low: Val, high: Val, left_low: bool, cuts: list[int], n: int) -> DataFrame:
+    """The join on ``bound`` of what may be in order: each pair of ranges on its own, and none whose values are the other way round.
+
+    Few bytes give many pairs here, so the number of tasks is given and doesn't follow the bytes.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ls, rs = (f"l{n}_low", f"l{n}_high"), (f"r{n}_low", f"r{n}_high")
+    left = _ranged(left, (low if left_low else high).col, cuts, left_low, ls)
+    right = _ranged(right, (high if left_low else low).col, cuts, not left_low, rs)
+    left = left.repartition(tasks, *[k for k, _ in keys], *ls)
+    right = right.repartition(tasks, *[k for _, k in keys], *rs)
+    return left.join(right, _all([*bound, *[F.col(x) == F.col(y) for x, y in zip(ls, rs, strict=True)]]), "inner").drop(*ls, *rs)
+
+
+def _join(body: Body, atom: Atom, rel: Relation, semantics: Semantics, later: tuple[AnyGoal, ...] = ()) -> None:
     n = next(_fresh)
     df, cols = _renamed(rel, n)
     own, bound, new = _match(atom, cols, body.env)
@@ -105,7 +155,15 @@ def _join(body: Body, atom: Atom, rel: Relation, semantics: Semantics) -> None:
     if body.df is None:
         body.df = df.filter(_all(bound)) if bound else df
     else:
-        body.df = body.df.join(df, _all(bound), "inner") if bound else body.df.crossJoin(df)
+        order = _ordered_pair(body, atom, new, later) if bound else None
+        cuts = []
+        if order:
+            keys = [(body.env[a.name].col, v.col) for a, v in zip(atom.args, cols, strict=True) if isinstance(a, Var) and a.name in body.env]
+            cuts = _cuts(body.df, [k for k, _ in keys], body.env[order[0] if order[0] in body.env else order[1]].col)
+        if cuts:
+            body.df = _split_join(body.df, df, keys, bound, known[order[0]], known[order[1]], order[0] in body.env, cuts, n)
+        else:
+            body.df = body.df.join(df, _all(bound), "inner") if bound else body.df.crossJoin(df)
     b, d = F.col(f"g{n}_b"), F.col(f"g{n}_d")
     first = not body.atoms
     body.b = b if first else semantics.truth(body.b, b)

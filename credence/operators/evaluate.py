@@ -172,8 +172,8 @@ class Evaluator:
         return Relation(df.filter("b > 0 or d > 0"), kinds, unique=True)
 
     # rules
-    def body(self, goals: tuple[AnyGoal, ...], provide: Provider, constrained: bool = True) -> Body:
-        body = compile_body(self.spark, goals, provide, self.semantics)
+    def body(self, goals: tuple[AnyGoal, ...], provide: Provider, constrained: bool = True, split: bool = False) -> Body:
+        body = compile_body(self.spark, goals, provide, self.semantics, split)
         return self._constrained(body, goals, provide) if constrained else body
 
     def _head(self, r: Rule, body: Body) -> list[Column]:

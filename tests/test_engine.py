@@ -250,3 +250,18 @@ def test_goal_and_rule_order_do_not_matter(spark):
     two = ask(spark, facts + "safe(X) :- clean(X). safe(X) :- clean(Y), feeds(X, Y).", "?- feeds(X, Y), safe(X).")
     flat = lambda rows: sorted((sorted(r[0].items()), round(r[1], 12), round(r[2], 12)) for r in rows)
     assert flat(one) == flat(two) and len(one) == 2
+
+
+@pytest.mark.parametrize("goal,holds", [("lt(P, Q)", lambda p, q: p < q), ("leq(P, Q)", lambda p, q: p <= q), ("gt(P, Q)", lambda p, q: p > q), ("geq(Q, P)", lambda p, q: q >= p), ("lt(P, Q), gt(Q, 4)", lambda p, q: p < q > 4)])
+def test_large_groups_of_ordered_pairs_are_split(spark, monkeypatch, goal, holds):
+    """A predicate joined with itself, in order: each pair once, however its groups are cut."""
+    from credence.operators import body
+
+    rows = [(k, "a" if k % 4 else "b") for k in range(-9, 30)] + [(k, "c") for k in range(3)] + [(5, "c"), (None, "a"), (7, None)]
+    kb = KnowledgeBase().bind("m", spark.createDataFrame(rows, "k long, x string"), ["k", "x"], distinct=True)
+    want = sorted((p, x, q) for p, x in rows for q, y in rows if None not in (p, q, x) and x == y and holds(p, q))
+    for most in (10_000, 3, 1):
+        monkeypatch.setattr(body, "SPLIT_ROWS", most)
+        df = Engine(spark).evaluate(kb, f"?- m(P, X), m(Q, X), {goal}.").df
+        assert sorted((r.P, r.X, r.Q) for r in df.collect()) == want
+        assert ("Generate explode" in df._jdf.queryExecution().executedPlan().toString()) == (most < 100)
