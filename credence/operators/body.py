@@ -121,25 +121,51 @@ def _cuts(df: DataFrame, keys: list[Column], value: Column) -> list[int]:
     return sorted(set(df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
 
 
-def _ranged(df: DataFrame, value: Column, cuts: list[int], smaller: bool, names: tuple[str, str]) -> DataFrame:
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    return reduce(lambda x, y: x + y, [(value >= F.lit(c)).cast("int") for c in cuts])
+
+
+def _ranged(df: DataFrame, own: Column, last: int, smaller: bool, names: tuple[str, str]) -> DataFrame:
     """A row for each pair of ranges, the smaller value's and the larger's, that it may be in; null is in none."""
-    own = reduce(lambda x, y: x + y, [(value >= F.lit(c)).cast("int") for c in cuts])
-    low, high = (own, F.explode(F.sequence(own, F.lit(len(cuts))))) if smaller else (F.explode(F.sequence(F.lit(0), own)), own)
+    low, high = (own, F.explode(F.sequence(own, F.lit(last)))) if smaller else (F.explode(F.sequence(F.lit(0), own)), own)
     return df.withColumns({names[0]: low, names[1]: high})
 
 
-def _split_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], bound: list[Column], low: Val, high: Val, left_low: bool, cuts: list[int], n: int) -> DataFrame:
+def _packed(df: DataFrame, keys: list[str], value: Column, cuts: list[int], n: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """A row for each group and range, with all of its rows in a list; and what takes them out again.
+
+    A loop over a list is the cheapest way to pairs.  Weights that never differ stay out of it, as literals do then.
+    """
+    b, d = F.col(f"g{n}_b"), F.col(f"g{n}_d")
+    same = df.agg((F.min(b) == F.max(b)) & (F.min(d) == F.max(d))).first()[0]
+    out = [*keys, f"g{n}_b", f"g{n}_d"] if same else keys
+    within = [c for c in df.columns if c not in out]
+    # a single column is the value, which isn't null here
+    rows = F.collect_list(F.struct(*within) if len(within) > 1 else F.col(within[0]))
+    taken = F.inline(f"p{n}_rows").alias(*within) if len(within) > 1 else F.explode(f"p{n}_rows").alias(within[0])
+    packed = df.filter(value.isNotNull()).groupBy(*out, _range_of(value, cuts).alias(f"p{n}_own")).agg(rows.alias(f"p{n}_rows"))
+    return packed, lambda met: met.select(*[c for c in met.columns if not c.startswith(f"p{n}_")], taken)
+
+
+def _split_join(left: DataFrame, right: DataFrame, keys: list[tuple[Val, Val, str]], bound: list[Column], low: Val, high: Val, left_low: bool, cuts: list[int], n: int) -> DataFrame:
     """The join on ``bound`` of what may be in order: each pair of ranges on its own, and none whose values are the other way round.
 
-    Few bytes give many pairs here, so the number of tasks is given and doesn't follow the bytes.
+    Few bytes give many pairs here, so the number of tasks is given and doesn't follow the bytes; there are several for a core, as pairs are dealt unevenly.
     """
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ls, rs = (f"l{n}_low", f"l{n}_high"), (f"r{n}_low", f"r{n}_high")
-    left = _ranged(left, (low if left_low else high).col, cuts, left_low, ls)
-    right = _ranged(right, (high if left_low else low).col, cuts, not left_low, rs)
-    left = left.repartition(tasks, *[k for k, _ in keys], *ls)
-    right = right.repartition(tasks, *[k for _, k in keys], *rs)
-    return left.join(right, _all([*bound, *[F.col(x) == F.col(y) for x, y in zip(ls, rs, strict=True)]]), "inner").drop(*ls, *rs)
+    mine, other = (low.col, high.col) if left_low else (high.col, low.col)
+    left = _ranged(left, _range_of(mine, cuts), len(cuts), left_low, ls)
+    # grouping would make -0.0 into 0.0
+    if all(v.kind not in ("float", "num", "term") for _, v, _ in keys):
+        right, unpacked = _packed(right, [c for _, _, c in keys], other, cuts, n)
+        right = _ranged(right, F.col(f"p{n}_own"), len(cuts), not left_low, rs)
+    else:
+        right, unpacked = _ranged(right, _range_of(other, cuts), len(cuts), not left_low, rs), lambda met: met
+    left = left.repartition(tasks, *[k.col for k, _, _ in keys], *ls)
+    right = right.repartition(tasks, *[v.col for _, v, _ in keys], *rs)
+    # merged, as a list must never be the streamed side: Spark holds all that one streamed row gives
+    return unpacked(left.join(right.hint("merge"), _all([*bound, *[F.col(x) == F.col(y) for x, y in zip(ls, rs, strict=True)]]), "inner").drop(*ls, *rs))
 
 
 def _join(body: Body, atom: Atom, rel: Relation, semantics: Semantics, later: tuple[AnyGoal, ...] = ()) -> None:
@@ -158,8 +184,8 @@ def _join(body: Body, atom: Atom, rel: Relation, semantics: Semantics, later: tu
         order = _ordered_pair(body, atom, new, later) if bound else None
         cuts = []
         if order:
-            keys = [(body.env[a.name].col, v.col) for a, v in zip(atom.args, cols, strict=True) if isinstance(a, Var) and a.name in body.env]
-            cuts = _cuts(body.df, [k for k, _ in keys], body.env[order[0] if order[0] in body.env else order[1]].col)
+            keys = [(body.env[a.name], v, f"g{n}_a{i}") for i, (a, v) in enumerate(zip(atom.args, cols, strict=True)) if isinstance(a, Var) and a.name in body.env]
+            cuts = _cuts(body.df, [k.col for k, _, _ in keys], body.env[order[0] if order[0] in body.env else order[1]].col)
         if cuts:
             body.df = _split_join(body.df, df, keys, bound, known[order[0]], known[order[1]], order[0] in body.env, cuts, n)
         else:

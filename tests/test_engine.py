@@ -265,3 +265,24 @@ def test_large_groups_of_ordered_pairs_are_split(spark, monkeypatch, goal, holds
         df = Engine(spark).evaluate(kb, f"?- m(P, X), m(Q, X), {goal}.").df
         assert sorted((r.P, r.X, r.Q) for r in df.collect()) == want
         assert ("Generate explode" in df._jdf.queryExecution().executedPlan().toString()) == (most < 100)
+
+
+def test_split_groups_are_joined_as_lists(spark, monkeypatch):
+    """Rows of a group's range are one list on the joined side, with all their columns, weights that differ too; keys that grouping would change stay rows."""
+    from credence.operators import body
+
+    monkeypatch.setattr(body, "SPLIT_ROWS", 3)
+    rows = [(k, x, f"w{k}", 0.5 + (k % 3) / 10, 0.1) for k in range(14) for x in ("a", "b")] + [(3, None, "w", 0.5, 0.1), (None, "a", "w", 0.5, 0.1), (4, "c", "w", 0.0, 0.0)]
+    tables = [("string", rows)] + [("double", [(k, None if x is None else -0.0 if x == "a" else 0.0, *r) for k, x, *r in rows])]
+    for kind, held in tables:
+        for weights in ({}, {"b": "b", "d": "d"}):
+            kb = KnowledgeBase().bind("m", spark.createDataFrame(held, f"k long, x {kind}, w string, b double, d double"), ["k", "x", "w"], distinct=True, **weights)
+            df = Engine(spark).evaluate(kb, "?- m(P, X, V), m(Q, X, W), lt(P, Q).").df
+            weight = lambda p, q: (p[3] * q[3], 1 - (1 - p[4]) * (1 - q[4])) if weights else (1.0, 0.0)  # noqa: B023, E731
+            facts = [r for r in held if None not in r and (r[3] or not weights)]
+            want = sorted((p[0], p[2], q[0], q[2], *map(lambda v: round(v, 9), weight(p, q))) for p in facts for q in facts if p[1] == q[1] and p[0] < q[0])
+            got = sorted((r.P, r.V, r.Q, r.W, round(r.b, 9), round(r.d, 9)) for r in df.collect())
+            assert got == want
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert ("collect_list" in plan) == (kind == "string")
+            assert "BroadcastHashJoin" not in plan
